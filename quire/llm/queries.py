@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP9_SQL, op9_decontamination
+from .jaccard import OP3_SQL, op3_ngram_jaccard_join
+from .media import op5_media_columns
+from .secrets import OP10_SQL, op10_secret_scans
 from .token_counts import op2_token_counts
+from .warc import OP1_SQL, op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_media_columns": op5_media_columns,
+    "op9_decontamination": op9_decontamination,
+    "op10_secret_scans": op10_secret_scans,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op9_decontamination": OP9_SQL, "op10_secret_scans": OP10_SQL}
