@@ -51,9 +51,9 @@ def bucket(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def picked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and text alone, under fixed names, so that extra or clashing columns of the input can't matter; null text is ''."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def picked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: list[Column] | None = None) -> DataFrame:
+    """Id and text (and ``more``) alone, under fixed names, so that extra or clashing columns of the input can't matter; null text is ''."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(more or []))
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str) -> DataFrame:

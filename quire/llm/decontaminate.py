@@ -58,9 +58,9 @@ def matching(theirs: Column, ours) -> Column:
     return F.when(first_off == 0, F.size(theirs)).otherwise(first_off.cast("int") - 1)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, carry: Column | None = None) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, items (ids of occurring items as sorted strings), spans of hit words
-    (first, last, item_id), over whole texts."""
+    (first, last, item_id), over whole texts; and, if given, the column ``carry`` as ``row``."""
     items = picked(benchmark, "item_id").filter("doc_id is not null").select(F.col("doc_id").cast("string").alias("item_id"), words(F.col("text")).alias("ws"))
     items = written(items.filter(F.size("ws") > 0), "items")
     short = sorted(r[0] for r in items.filter(F.size("ws") < window).select(F.size("ws")).distinct().collect())  # at most window - 1 values
@@ -84,7 +84,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     known = bounded(written(known, "item-fingerprints"), 600)
 
-    keyed = picked(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    own = [F.lit(None).alias("row") if carry is None else carry.alias("row")]
+    keyed = picked(docs, id_col, text_col, own).withColumn("key", F.xxhash64("doc_id", "text"))
     all_prints = let(words(F.col("text")), lambda x: F.concat(*(fingerprints(x, k, w) for k, w in sizes)))
     prints = keyed.select("key", F.explode(all_prints).alias("f")).select("key", F.col("f.at").alias("at"), F.col("f.hash").alias("hash"), F.col("f.k").alias("k"))
     hits = prints.join(known, ["hash", "k"]).select("key", F.struct("at", "k", "item_id", "need", "before", "gram", "after").alias("hit"))
@@ -94,9 +95,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     none = F.array().cast("array<struct<first:int,last:int,item_id:string>>")
     found = let(words(F.col("text")), lambda x: F.struct(F.size(x).cast("long").alias("n_words"), F.when(F.col("hits").isNotNull(), extended(x, F.col("hits"))).otherwise(none).alias("spans")))
-    out = keyed.join(hits, "key", "left").select("doc_id", found.alias("r")).select("doc_id", "r.*")
+    out = keyed.join(hits, "key", "left").select("doc_id", "row", found.alias("r")).select("doc_id", "row", "r.*")
     hit_words = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))))
-    return out.select("doc_id", "n_words", F.when(F.size("spans") > 0, hit_words).otherwise(0).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))).alias("items"), "spans")
+    return out.select("doc_id", "n_words", F.when(F.size("spans") > 0, hit_words).otherwise(0).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))).alias("items"), "spans", *["row"] * (carry is not None))
 
 
 def extended(ws: Column, hits: Column) -> Column:

@@ -22,7 +22,7 @@ class ShardWriter:
             self.path = f"{self.folder}/{uuid.uuid4().hex}{self.suffix}"
             fs, inner = local_file(self.path)
             fs.create_dir(inner.rpartition("/")[0], recursive=True)
-            self.out, self.at = fs.open_output_stream(inner), 0
+            self.out, self.at = fs.open_output_stream(inner, compression=None), 0
         return self.path, self.at
 
     def write(self, data: bytes) -> None:

@@ -91,13 +91,27 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Ru
     return blobs.select("blob", F.when(F.col("text").isNotNull(), now).otherwise(seen).alias("rules"), F.array_sort(F.concat(kept, fresh)).alias("spans"))
 
 
-def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(Every document row with doc_id, blob and sorted spans; the new ledger, written in the shared folder)."""
-    named = picked(docs, id_col, text_col).withColumn("blob", F.sha2("text", 256))
+def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(Every document row with doc_id, blob and sorted spans, and ``carry`` as ``row`` if given; the new ledger, written in
+    the shared folder)."""
+    own = [] if carry is None else [carry.alias("row")]
+    named = picked(docs, id_col, text_col, own).withColumn("blob", F.sha2("text", 256))
     told = written(scan_blobs(named.select("blob", "text"), ledger, rules), "ledger")
     found = bounded(told.filter(F.size("spans") > 0).select("blob", "spans"), 1000)
-    out = named.select("doc_id", "blob").join(found, "blob", "left")
-    return out.select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), told
+    out = named.drop("text").join(found, "blob", "left")
+    return out.select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"), *["row"] * (carry is not None)), told
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """``text`` with every span, or run of overlapping spans, replaced by ``mark``."""
+
+    def cut(acc: Column, s: Column) -> Column:
+        apart = s["start"] >= acc["at"]
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, more).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
+    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
 
 
 def joined(spans: Column) -> Column:
