@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Largest table, in estimated bytes, that an operator broadcasts; beyond it the same join shuffles.
 BROADCAST_BYTES = 64 << 20
 
+#: Spark's switch for removing a query's shuffle files at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (local runs)."""
@@ -29,11 +32,20 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage and outlives lost executors. What its own run shuffled is
+    removed then, as is the written table ``instead_of``, which nothing may read any more."""
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    before = spark.conf.get(CLEAN)
+    try:
+        spark.conf.set(CLEAN, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    for folder in {f.rpartition("/")[0] for f in instead_of.inputFiles()} if instead_of is not None else ():
+        fs, inner = local_file(folder)
+        fs.delete_dir(inner)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

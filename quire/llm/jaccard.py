@@ -1,12 +1,13 @@
 """Exact n-gram Jaccard self-join by a token-group matrix, in DataFrame expressions only.
 
 1. Every text becomes the set of its hashed word 5-grams. Rows with equal sets form one class; only classes go on.
-2. Tokens get a global order, frequent ones last. A class's first n - ceil(0.8 n) + 1 tokens are its prefix; two sets
-   of Jaccard similarity 0.8 or more share a prefix token. Frequent tokens are told by a bitmap of fixed size, filled
-   from a sample of texts. Any order gives the same result: the sample bears on speed alone.
+2. Tokens get a global order, frequent ones last. A class's first n - ceil(0.8 n) + l tokens are its prefix, with
+   l = 1 + n // 20; two sets of Jaccard similarity 0.8 or more share the smaller of their l prefix tokens at least.
+   Frequent tokens are told by a bitmap of fixed size, filled from a sample of texts. Any order gives the same result:
+   the sample bears on speed alone.
 3. Classes that share their least common prefix token and are about as large are partitioned into groups of some
    ``GROUP`` members; larger ones are split by hash. Each group stores the union of its members' tokens.
-4. A query meets those groups of which a member has one of its prefix tokens. Overlap with the union bounds the overlap
+4. A query meets those groups whose members' prefixes hold that many of its prefix tokens. Overlap with the union bounds the overlap
    with every member, so the group is opened only if that reaches 0.8 of the query; then each member is compared whole.
 5. Links between classes are closed to components by label propagation with pointer jumping, each round a written table.
 
@@ -46,6 +47,11 @@ def needed(n: Column) -> Column:
     return F.floor((n * 4 + 4) / 5).cast("int")
 
 
+def alike(n: Column) -> Column:
+    """How many prefix tokens a set has in common with any similar set that has no smaller such number."""
+    return F.floor(n / 20).cast("int") + 1
+
+
 def frequent_tokens(texts: DataFrame) -> Column | None:
     """The bitmap of frequent tokens as a constant array of longs; None if there are none."""
     some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0).groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"))
@@ -63,7 +69,7 @@ def frequent_tokens(texts: DataFrame) -> Column | None:
 
 def prefix(tokens: Column, bitmap: Column | None) -> Column:
     def take(s: Column, cold: Column) -> Column:
-        n = F.size(s) - needed(F.size(s)) + 1
+        n = F.size(s) - needed(F.size(s)) + alike(F.size(s))
         return F.slice(F.when(F.size(cold) >= n, cold).otherwise(F.concat(cold, F.array_except(s, cold))), 1, n)
 
     if bitmap is None:
@@ -87,21 +93,23 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     placed = least.join(parts, ["g", "s"]).select("cid", "n", F.xxhash64("g", "s", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("gid"))
     placed = written(placed, "groups")
 
-    wanted = classes.join(placed.select("cid"), "cid", "left_semi").select("cid", "a", "b", "text_hash")
-    wanted = written(wanted, "wanted")
-    few = bounded(wanted.select("text_hash").distinct(), 40)
-    read = texts.join(few, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-    read = read.select("text_hash", shingles(F.col("text")).alias("tokens"))
-    sets = written(read.join(wanted, "text_hash").filter((F.xxhash64("tokens") == F.col("a")) & (F.xxhash64(F.lit(1), "tokens") == F.col("b"))).select("cid", "tokens"), "sets")
+    ranges = placed.groupBy("gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("cid").alias("last"))
+    group_posts = shared.select("t", "cid").join(placed.select("cid", "gid"), "cid").select("t", "gid").distinct().join(ranges, "gid")
+    met = shared.select("t", F.col("cid").alias("q"), F.col("n").alias("nq")).join(group_posts, "t")
+    met = met.filter("last > q AND 5 * high >= 4 * nq AND 4 * low <= 5 * nq").groupBy("q", "nq", "gid").agg(F.count("*").alias("common"), F.first("low").alias("low"))
+    met = written(met.filter(F.col("common") >= alike(F.least("nq", "low"))).select("q", "nq", "gid"), "met")
 
-    stored = placed.join(sets, "cid").groupBy("gid").agg(
+    groups = placed.join(met.select("gid").distinct(), "gid", "left_semi")
+    wanted = groups.select("cid").union(met.select("q")).distinct()
+    wanted = written(classes.select("cid", "a", "b", "text_hash").join(wanted, "cid", "left_semi"), "wanted")
+    read = texts.join(bounded(wanted, 60), "text_hash").groupBy("cid", "a", "b").agg(F.first("text").alias("text"))
+    read = read.select("cid", "a", "b", shingles(F.col("text")).alias("tokens"))
+    sets = written(read.filter((F.xxhash64("tokens") == F.col("a")) & (F.xxhash64(F.lit(1), "tokens") == F.col("b"))).select("cid", "tokens"), "sets")
+
+    stored = groups.join(sets, "cid").groupBy("gid").agg(
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.collect_list(F.struct("cid", "n", "tokens")).alias("members"),
     )
     stored = written(stored, "group-matrix")
-    ranges = placed.groupBy("gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("cid").alias("last"))
-    group_posts = shared.select("t", "cid").join(placed.select("cid", "gid"), "cid").select("t", "gid").distinct().join(ranges, "gid")
-    met = shared.select("t", F.col("cid").alias("q"), F.col("n").alias("nq")).join(group_posts, "t")
-    met = met.filter("last > q AND 5 * high >= 4 * nq AND 4 * low <= 5 * nq").select("q", "nq", "gid").distinct()
 
     query = sets.select(F.col("cid").alias("q"), F.col("tokens").alias("query"))
     bound = met.join(query, "q").join(stored.select("gid", "union"), "gid").filter(F.size(F.array_intersect("query", "union")) >= needed(F.col("nq")))
@@ -137,6 +145,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     classes = rows.filter("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("text_hash").alias("text_hash"), F.first("prefix").alias("prefix"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    rows = written(rows.select("doc_id", "n", "a", "b"), "short-rows", instead_of=rows)
     pairs = written(links(classes.select("cid", "n", "a", "b", "text_hash", "prefix"), docs.select(F.xxhash64("text").alias("text_hash"), "text")), "links")
     short = classes.select("cid", "copies", "first_id")
     if pairs.isEmpty():
