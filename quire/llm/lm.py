@@ -8,8 +8,9 @@ every level up to that, so the filter grows with the distinct n-grams. Segments
 Scoring: a count is read by probing levels 1, 2, ... until one is missing; level j stands for the middle of its range. A
 token's probability is L min(1, c(h w)/c(h)) + (1 - L) p(w), p being add-half smoothed, with one L for each level of
 c(h), fitted by expectation maximisation on a histogram over all training tokens with their own occurrence left out.
-The filter is broadcast while its counted bytes are within ``FILTER``; beyond, workers read the segments that they need
-from the table, to the same result.
+The filter goes to the workers as a broadcast variable while its counted bytes are within ``FILTER``, which bounds what
+passes through the driver; beyond, each worker reads it from the written table, whole up to ``WHOLE`` bytes and else by
+segments as they are probed. The result is the same.
 
 The base score is exact: the most frequent ``TOP`` words are looked up in a broadcast table of fixed size, all other
 words of a document are joined with the whole table of counts.
@@ -36,8 +37,8 @@ from .words import BLANKS, ONE, TWO, mix, slices, sums, tokenize
 BITS, PROBES = 12, 6
 #: Bytes of text for a segment; tokens that a task counts before it sends them on.
 SEGMENT, FLUSH = 16 << 20, 2_000_000
-#: The largest filter, in bytes, that is broadcast, and the number of words in the broadcast table.
-FILTER, TOP = 256 << 20, 1 << 18
+#: The largest filter, in bytes, that passes through the driver, and that a worker holds; words in the broadcast table.
+FILTER, WHOLE, TOP = 32 << 20, 512 << 20, 1 << 18
 KEY = np.uint64((1 << 48) - 1)
 WORDS, PAIRS = 0, 1
 END = np.uint64(0xE2D)
@@ -158,21 +159,30 @@ def train(docs: DataFrame) -> tuple[str, int]:
 
 
 class Filter:
-    """Quantised counts by membership probes, in a broadcast filter or in segments read from the table."""
+    """Quantised counts by membership probes, in the filter as a whole or in segments read from the table."""
 
-    def __init__(self, path: str, segments: int, held: list[bytes] | None) -> None:
+    def __init__(self, path: str, segments: int, size: int, held: list[bytes] | None) -> None:
         self.path, self.segments, self.whole = path, segments, None
-        if held is not None:
-            self.size = np.array([8 * len(x) for x in held], np.uint64)
+        if held is None and size <= WHOLE:
+            found = self.read(None)
+            order = {s: k for k, s in enumerate(found["seg"].to_pylist())}
+            parts = [found["filter"][order[s]].as_buffer() if s in order else bytes(8) for s in range(segments)]
+        else:
+            parts = held
+        if parts is not None:
+            self.size = np.array([8 * len(x) for x in parts], np.uint64)
             self.start = np.concatenate([[np.uint64(0)], np.cumsum(self.size)[:-1]]).astype(np.uint64)
-            self.whole = np.frombuffer(b"".join(held), np.uint8)
+            self.whole = np.frombuffer(b"".join(parts), np.uint8)
 
-    @lru_cache(maxsize=64)
-    def part(self, seg: int) -> np.ndarray:
+    def read(self, seg: int | None) -> pa.Table:
         import pyarrow.dataset as ds
 
         fs, inner = local_file(self.path)
-        found = ds.dataset(inner, filesystem=fs, format="parquet").to_table(columns=["filter"], filter=ds.field("seg") == seg)
+        return ds.dataset(inner, filesystem=fs, format="parquet").to_table(columns=["seg", "filter"], filter=None if seg is None else ds.field("seg") == seg)
+
+    @lru_cache(maxsize=64)
+    def part(self, seg: int) -> np.ndarray:
+        found = self.read(seg)
         return np.frombuffer(found["filter"][0].as_py() if len(found) else bytes(8), np.uint8)
 
     def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
@@ -204,8 +214,8 @@ class Filter:
 class Model:
     """What workers need to score: the filter, N, V, the weights by context level, and the frequent words."""
 
-    def __init__(self, path: str, segments: int, held: list[bytes] | None, tokens: int, words: int, n_texts: int) -> None:
-        self.path, self.segments, self.held, self.tokens, self.words, self.n_texts = path, segments, held, tokens, words, n_texts
+    def __init__(self, path: str, segments: int, size: int, held: list[bytes] | None, tokens: int, words: int, n_texts: int) -> None:
+        self.path, self.segments, self.size, self.held, self.tokens, self.words, self.n_texts = path, segments, size, held, tokens, words, n_texts
         self.weights = np.zeros(65)
         self.top = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.filter = None
@@ -220,7 +230,7 @@ class Model:
         """Level of each token's context, counts of context and pair, smoothed probability of the token alone; and the
         distinct hashes with the place of each token among them."""
         if self.filter is None:
-            self.filter, self.held = Filter(self.path, self.segments, self.held), None
+            self.filter, self.held = Filter(self.path, self.segments, self.size, self.held), None
         kinds, which = np.unique(word, return_inverse=True)
         level = self.filter.levels(kinds, WORDS)[which]
         twos, whose = np.unique(pair, return_inverse=True)
@@ -288,12 +298,13 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str = "doc
         if n > top:
             break
         least = c
-    frequent = vocabulary.filter(F.col("c") >= least).collect() if least is not None else []  # at most ``top`` rows
+    frequent = vocabulary.filter(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()  # at most ``top`` rows
 
     n_texts = vocabulary.filter(F.col("h") == int(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    model = Model(path, segments, held_bytes, tokens, words, int(n_texts))
-    order = sorted((h & (1 << 64) - 1, c) for h, c in frequent)
-    model.top = (np.array([h for h, _ in order], np.uint64), np.array([c for _, c in order], np.int64))
+    model = Model(path, segments, size, held_bytes, tokens, words, int(n_texts))
+    top_h, top_c = (frequent[c].to_numpy() for c in ("h", "c"))
+    order = np.argsort(top_h.view(np.uint64))
+    model.top = (top_h.view(np.uint64)[order], top_c[order])
     shared = spark.sparkContext.broadcast(model)
     model.weights = fitted(histogram(training, shared))
     shared.unpersist()
