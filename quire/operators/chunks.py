@@ -97,7 +97,8 @@ def convert(plan: DataFrame, pages: DataFrame, client: Callable[..., dict], most
                 out.append(row | {"error": str(e)})
                 break
             out.append(row)
-        return pd.DataFrame(out, columns=["doc_id", *(c.split()[0] for c in CONVERTED.split(", "))])
+        names = ["doc_id", *(c.split()[0] for c in CONVERTED.split(", "))]
+        return pd.DataFrame({c: pd.Series([x.get(c) for x in out], dtype=object) for c in names})
 
     done = chunks.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, {CONVERTED}")
     return done.withColumn("md", merge.renumbered(F.col("md"), F.col("page_start"))).withColumn("context_tail", merge.context_tail(F.col("md")))
