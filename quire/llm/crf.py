@@ -40,7 +40,7 @@ SEEN, SHARE, RATIO = 4, 0.015, 25.0
 def features(t: Tokens) -> np.ndarray:
     """Slots of the features of every token, a row per kind of feature."""
     kinds = [t.hashes(), *(hashed(t.data, t.start, np.minimum(t.end, t.start + n)) ^ np.uint64(0x9E3779B97F4A7C15 * n & (1 << 64) - 1) for n in PREFIXES)]
-    return np.stack([(h >> np.uint64(20)).astype(np.int64) & (SLOTS - 1) for h in kinds])
+    return np.stack([(h >> np.uint64(20)).astype(np.int32) & np.int32(SLOTS - 1) for h in kinds])
 
 
 def chains(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ class Field:
 
     def marginals(self, t: Tokens) -> np.ndarray:
         """Log odds that a token is toxic."""
-        score = self.bias + self.weights[features(t)].sum(axis=0, dtype=np.float64)
+        score = self.bias + sum(self.weights[row].astype(np.float64) for row in features(t))
         start, size = chains(t)
         ahead, back = messages(score, start, size, self.move)
         return ahead + back
@@ -127,17 +127,17 @@ def families(t: Tokens, seed: int) -> np.ndarray:
     return np.unique(least, return_inverse=True)[1]
 
 
-def token_labels(f: np.ndarray, t: Tokens, y: np.ndarray) -> np.ndarray:
-    """1 for each token of a toxic document with a telling feature. Near copies count once, so that what only they share
+def token_labels(f: np.ndarray, size: int, t: Tokens, y: np.ndarray) -> np.ndarray:
+    """``f``: numbers below ``size`` of the features of each token. 1 for each token of a toxic document with a telling feature. Near copies count once, so that what only they share
     doesn't tell."""
     doc = np.repeat(np.arange(len(y)), np.diff(t.bounds))
     bad = y[doc] == 1
 
     def spread(of: np.ndarray, kept: np.ndarray) -> np.ndarray:
-        """For each slot, among how many different values of ``of`` it occurs."""
-        total = np.zeros(SLOTS)
+        """For each feature, among how many different values of ``of`` it occurs."""
+        total = np.zeros(size)
         for row in f:
-            total += np.bincount(np.unique(of[doc[kept]] * SLOTS + row[kept]) % SLOTS, minlength=SLOTS)
+            total += np.bincount(np.unique(of[doc[kept]] * size + row[kept]) % size, minlength=size)
         return total
 
     toxic = np.minimum.reduce([spread(families(t, k), bad) for k in (1, 2, 3)])
@@ -152,24 +152,29 @@ def fit(texts: list[str], y: np.ndarray) -> Field:
         p = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
         return Field(np.zeros(SLOTS, np.float32), -8.0, np.zeros((2, 2)), np.array([0, 0, 0, np.log(p / (1 - p)) if len(y) else -40.0]))
     t = tokenize(pa.array(texts, pa.large_string()), RUNS)
-    f, (start, size) = features(t), chains(t)
-    tag = token_labels(f, t, y)
-    weights, bias, move = np.zeros(SLOTS), -2.0, np.zeros((2, 2))
-    seen_w, seen_b, seen_m = np.full(SLOTS, 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    start, size = chains(t)
+    used, f = np.unique(features(t), return_inverse=True)  # the sample's features alone, so that memory follows the sample
+    f, n = f.reshape(1 + len(PREFIXES), -1).astype(np.int32), len(used)
+    tag = token_labels(f, n, t, y)
+    weights, bias, move = np.zeros(n), -2.0, np.zeros((2, 2))
+    seen_w, seen_b, seen_m = np.full(n, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     inner = np.ones(len(tag), bool)
     inner[start] = False
     right = np.flatnonzero(inner)
     left = right - 1
     told = np.array([[((tag[left] == a) & (tag[right] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
     for _ in range(ROUNDS):
-        score = bias + weights[f].sum(axis=0)
+        score = bias + sum(weights[row] for row in f)
         ahead, back = messages(score, start, size, move)
         off = tag - sigmoid(ahead + back)
-        into = score[right] + back[right]
-        both = np.stack([[a * ahead[left] + b * into + move[a, b] for b in (0, 1)] for a in (0, 1)])
-        both = np.exp(both - both.max(axis=(0, 1)))
-        g_move = told - (both / both.sum(axis=(0, 1))).sum(axis=2)
-        g = sum(np.bincount(row, weights=off, minlength=SLOTS) for row in f) - 0.05 * weights
+        before, into = ahead[left].astype(np.float32), (score + back)[right].astype(np.float32)
+        both = [[a * before + b * into + np.float32(move[a, b]) for b in (0, 1)] for a in (0, 1)]
+        whole = np.logaddexp(np.logaddexp(both[0][0], both[0][1]), np.logaddexp(both[1][0], both[1][1]))
+        g_move = told - np.array([[np.exp(x - whole).sum(dtype=np.float64) for x in row] for row in both])
+        del before, into, both, whole
+        g = -0.05 * weights
+        for row in f:
+            g += np.bincount(row, weights=off, minlength=n)
         g_bias = off.sum()
         seen_w += g * g
         seen_b += g_bias * g_bias
@@ -177,7 +182,10 @@ def fit(texts: list[str], y: np.ndarray) -> Field:
         weights += 0.7 * g / np.sqrt(seen_w)
         bias += 0.7 * g_bias / np.sqrt(seen_b)
         move += 0.3 * (g_move - 0.1 * move) / np.sqrt(seen_m)
-    field = Field(weights.astype(np.float32), float(bias), move, np.zeros(4))
+    del f, left, right, seen_w
+    table = np.zeros(SLOTS, np.float32)
+    table[used] = weights
+    field = Field(table, float(bias), move, np.zeros(4))
     x = document_features(field.marginals(t), t.bounds)
     field.document = logistic(x, y)
     return field
