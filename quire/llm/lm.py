@@ -163,26 +163,32 @@ class Filter:
 
     def __init__(self, path: str, segments: int, size: int, held: list[bytes] | None) -> None:
         self.path, self.segments, self.whole = path, segments, None
-        if held is None and size <= WHOLE:
-            found = self.read(None)
-            order = {s: k for k, s in enumerate(found["seg"].to_pylist())}
-            parts = [found["filter"][order[s]].as_buffer() if s in order else bytes(8) for s in range(segments)]
-        else:
-            parts = held
-        if parts is not None:
-            self.size = np.array([8 * len(x) for x in parts], np.uint64)
-            self.start = np.concatenate([[np.uint64(0)], np.cumsum(self.size)[:-1]]).astype(np.uint64)
-            self.whole = np.frombuffer(b"".join(parts), np.uint8)
-
-    def read(self, seg: int | None) -> pa.Table:
+        if held is None and size > WHOLE:
+            return
+        # one array for all segments, as they come; those that are missing share eight zero bytes at the end
+        self.whole = np.zeros(size + 8, np.uint8)
+        self.size, self.start = np.full(segments, 64, np.uint64), np.full(segments, 8 * size, np.uint64)
+        at = 0
+        for seg, data in enumerate(held) if held is not None else self.stored():
+            if len(data):
+                self.whole[at : at + len(data)] = np.frombuffer(data, np.uint8)
+                self.size[seg], self.start[seg] = 8 * len(data), 8 * at
+                at += len(data)
+
+    def stored(self) -> Iterator[tuple[int, pa.Buffer]]:
         import pyarrow.dataset as ds
 
         fs, inner = local_file(self.path)
-        return ds.dataset(inner, filesystem=fs, format="parquet").to_table(columns=["seg", "filter"], filter=None if seg is None else ds.field("seg") == seg)
+        for b in ds.dataset(inner, filesystem=fs, format="parquet").to_batches(columns=["seg", "filter"], batch_size=4, batch_readahead=1, fragment_readahead=1):
+            for seg, data in zip(b["seg"].to_pylist(), b["filter"]):
+                yield seg, data.as_buffer()
 
     @lru_cache(maxsize=64)
     def part(self, seg: int) -> np.ndarray:
-        found = self.read(seg)
+        import pyarrow.dataset as ds
+
+        fs, inner = local_file(self.path)
+        found = ds.dataset(inner, filesystem=fs, format="parquet").to_table(columns=["filter"], filter=ds.field("seg") == seg)
         return np.frombuffer(found["filter"][0].as_py() if len(found) else bytes(8), np.uint8)
 
     def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
@@ -211,6 +217,18 @@ class Filter:
         return out
 
 
+_filters: dict[str, Filter] = {}
+
+
+def current(model: Model) -> Filter:
+    """The filter of a model; a worker process keeps one, that of the last model it scored with."""
+    if model.path not in _filters:
+        _filters.clear()
+        pa.default_memory_pool().release_unused()
+        _filters[model.path] = Filter(model.path, model.segments, model.size, model.held)
+    return _filters[model.path]
+
+
 class Model:
     """What workers need to score: the filter, N, V, the weights by context level, and the frequent words."""
 
@@ -218,10 +236,6 @@ class Model:
         self.path, self.segments, self.size, self.held, self.tokens, self.words, self.n_texts = path, segments, size, held, tokens, words, n_texts
         self.weights = np.zeros(65)
         self.top = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.filter = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"filter": None}
 
     def log_base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
@@ -229,12 +243,11 @@ class Model:
     def read(self, word: np.ndarray, pair: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         """Level of each token's context, counts of context and pair, smoothed probability of the token alone; and the
         distinct hashes with the place of each token among them."""
-        if self.filter is None:
-            self.filter, self.held = Filter(self.path, self.segments, self.size, self.held), None
+        probed = current(self)
         kinds, which = np.unique(word, return_inverse=True)
-        level = self.filter.levels(kinds, WORDS)[which]
+        level = probed.levels(kinds, WORDS)[which]
         twos, whose = np.unique(pair, return_inverse=True)
-        both = middle(self.filter.levels(twos, PAIRS))[whose]
+        both = middle(probed.levels(twos, PAIRS))[whose]
         context = np.roll(level, 1)
         context[bounds[:-1]] = level_of(np.array([self.n_texts]))[0]
         alone = (middle(level) + 0.5) / (self.tokens + 0.5 * (self.words + 1))
@@ -283,7 +296,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str = "doc
     held_bytes: list[bytes] | None = None
     if size <= broadcast_bytes:
         found = {r.seg: bytes(r.filter) for r in table.select("seg", "filter").collect()}
-        held_bytes = [found.get(s, bytes(8)) for s in range(segments)]
+        held_bytes = [found.get(s, b"") for s in range(segments)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for b in batches:

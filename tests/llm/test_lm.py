@@ -43,9 +43,10 @@ def test_segments_on_demand_score_the_same(spark, monkeypatch):
     ids, texts = hard()
     path, segments = lm.train(docs(spark, texts, ids).selectExpr("coalesce(text, '') AS text"))
     h = np.unique(lm.stream(pa.record_batch({"text": pa.array([t or "" for t in texts])}))[0])
-    whole = lm.Filter(path, segments, 0, None).levels(h, lm.WORDS)
+    size = spark.read.parquet(path).selectExpr("sum(octet_length(filter))").first()[0]
+    whole = lm.Filter(path, segments, size, None).levels(h, lm.WORDS)
     monkeypatch.setattr(lm, "WHOLE", -1)
-    assert lm.Filter(path, segments, 0, None).levels(h, lm.WORDS).tolist() == whole.tolist()
+    assert lm.Filter(path, segments, size, None).levels(h, lm.WORDS).tolist() == whole.tolist()
     counts = collections.Counter(w for t in texts for w in [*(t or "").encode().lower().split(), None])
     off = np.sort(whole) - np.sort(lm.level_of(np.array([*counts.values()])))
     assert off.min() == 0 and off.sum() <= 0.02 * len(off)  # a filter may tell too much, never too little
