@@ -244,9 +244,9 @@ ORACLES = {
     "chunk_plan": f"WITH {PLAN} SELECT * FROM plan",
     "manifest_changes": f"WITH {CHANGES} SELECT * FROM changes",
     "resume_fresh_chunks": f"WITH {PLAN}, {CHANGES} SELECT doc_id, idx, page_start, page_end FROM plan JOIN changes USING (doc_id) WHERE changed OR (doc_id + idx) % 3 = 0",
-    "request_cost": f"WITH {PRICED} SELECT doc_id, model, round(cost, 6) AS cost FROM priced",
-    "document_cost": f"WITH {PRICED}, g AS (SELECT doc_id, count(*) AS chunks, sum(input_tokens + cache_creation_tokens + cache_read_tokens)::BIGINT AS i, sum(output_tokens)::BIGINT AS o, sum(cost) AS c FROM priced GROUP BY doc_id) SELECT doc_id, chunks, i AS total_input_tokens, i + CASE WHEN doc_id % 4 = 0 THEN 2000 ELSE 0 END AS total_all_input_tokens, o + CASE WHEN doc_id % 4 = 0 THEN 1500 ELSE 0 END AS total_all_output_tokens, round(c + CASE WHEN doc_id % 4 = 0 THEN 0.15::DOUBLE ELSE 0.0 END, 6) AS total_cost FROM g",
-    "cost_rollup": f"WITH {PRICED} SELECT model, doc_id, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_creation_tokens)::BIGINT AS cache_creation_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens, round(sum(cost), 4) AS cost, grouping(model, doc_id)::BIGINT AS level FROM priced GROUP BY ROLLUP (model, doc_id)",
+    "request_cost": f"WITH {PRICED} SELECT doc_id, model, round(cost, 8) AS cost FROM priced",
+    "document_cost": f"WITH {PRICED}, g AS (SELECT doc_id, count(*) AS chunks, sum(input_tokens + cache_creation_tokens + cache_read_tokens)::BIGINT AS i, sum(output_tokens)::BIGINT AS o, sum(cost) AS c FROM priced GROUP BY doc_id) SELECT doc_id, chunks, i AS total_input_tokens, i + CASE WHEN doc_id % 4 = 0 THEN 2000 ELSE 0 END AS total_all_input_tokens, o + CASE WHEN doc_id % 4 = 0 THEN 1500 ELSE 0 END AS total_all_output_tokens, round(c + CASE WHEN doc_id % 4 = 0 THEN 0.15::DOUBLE ELSE 0.0 END, 8) AS total_cost FROM g",
+    "cost_rollup": f"WITH {PRICED} SELECT model, doc_id, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_creation_tokens)::BIGINT AS cache_creation_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens, round(sum(cost), 8) AS cost, grouping(model, doc_id)::BIGINT AS level FROM priced GROUP BY ROLLUP (model, doc_id)",
     "status_counts": "SELECT count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 3 <> 0) AS converted, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 3 = 0) AS cached, count(*) FILTER (doc_id % 7 = 0) AS failed FROM documents",
     "fidelity_overlap": f"""WITH {DOCS}, {PAGES}, {rows('a', m.PAGE_BLOCK, 1)}, {rows('b', m.PAGE_BLOCK, 2)},
       own AS (SELECT doc_id, page_no, {words('body')} AS w FROM (SELECT a.doc_id, a.v::BIGINT AS page_no, arg_max(b.v, b.o) AS body FROM a JOIN b ON a.doc_id = b.doc_id AND a.o = b.o GROUP BY ALL) WHERE NOT regexp_matches(body, {lit(m.PAGE_SKIP.pattern)})),

@@ -116,7 +116,7 @@ def manifest_changes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def request_cost(spark: SparkSession, d: str) -> DataFrame:
-    return cost.with_cost(corpus.usage(spark, d)).select("doc_id", "model", F.round("cost", 6).alias("cost"))
+    return cost.with_cost(corpus.usage(spark, d)).select("doc_id", "model", F.round("cost", 8).alias("cost"))
 
 
 @query
@@ -124,12 +124,12 @@ def document_cost(spark: SparkSession, d: str) -> DataFrame:
     usage = cost.with_cost(corpus.usage(spark, d))
     stages = usage.filter("doc_id % 4 = 0").select("doc_id", F.lit("table fixes").alias("name"), F.lit(2000).cast("bigint").alias("input_tokens"), F.lit(1500).cast("bigint").alias("output_tokens"), F.lit(0.15).alias("cost"), F.lit(20.0).alias("elapsed_seconds"))
     out = cost.with_stages(cost.document_totals(usage), stages)
-    return out.select("doc_id", "chunks", "total_input_tokens", "total_all_input_tokens", "total_all_output_tokens", F.round("total_cost", 6).alias("total_cost"))
+    return out.select("doc_id", "chunks", "total_input_tokens", "total_all_input_tokens", "total_all_output_tokens", F.round("total_cost", 8).alias("total_cost"))
 
 
 @query
 def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return long(cost.rollup(cost.with_cost(corpus.usage(spark, d))), "level").withColumn("cost", F.round("cost", 4))
+    return long(cost.rollup(cost.with_cost(corpus.usage(spark, d))), "level").withColumn("cost", F.round("cost", 8))
 
 
 @query
