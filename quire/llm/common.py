@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Largest table, in estimated bytes, that an operator broadcasts; beyond it the same join shuffles.
 BROADCAST_BYTES = 64 << 20
 
+#: Tasks over which a shuffled join spreads one key.
+SALTS = 16
+
 #: Spark's switch for removing a query's shuffle files at its end.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (local runs)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of our own if the master
+    is local, and an error if it isn't. A path without scheme is one of the cluster's default file system."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root):
+        return root
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm.org.apache.hadoop.fs.Path(root)).toString()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -48,9 +62,23 @@ def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows of ``row_bytes`` fit ``limit``; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def fits(df: DataFrame, row_bytes: int) -> bool:
+    """Whether the counted rows of ``df``, of ``row_bytes`` each, may be broadcast."""
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
+def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows of ``row_bytes`` fit the bound; else as it is, to be shuffled."""
+    return F.broadcast(df) if fits(df, row_bytes) else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
+    """``left`` joined with the few columns of ``right``: a broadcast within the bound. Beyond it both are shuffled, and a
+    key that many rows of ``left`` have is spread over ``SALTS`` tasks by the partition that those rows come from."""
+    if fits(right, row_bytes):
+        return left.join(F.broadcast(right), on, how)
+    left = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return left.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"], how).drop("_salt")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -68,20 +96,49 @@ def picked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(more or []))
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
-    """``mapInArrow`` over a function that yields columns as dictionaries of lists."""
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str, keep: tuple[str, ...] = (), memory: str = "") -> DataFrame:
+    """``mapInArrow`` over a function that yields columns as dictionaries of lists: the columns ``keep`` of ``df``, with their
+    types, and those of ``schema``. What a worker remembers for anything but ``memory`` (see ``remembered``) is dropped first."""
     types = df.sparkSession.createDataFrame([], schema).schema
+    types = StructType([StructField(c, df.schema[c].dataType) for c in keep] + types.fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(memory)
         for out in f(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, types)
 
 
+#: What this worker process remembers from task to task: one operator's tables, under the operator's name and their own.
+_memory: dict[tuple[str, object], Any] = {}
+
+
+def forget(but: str = "") -> None:
+    """Drops what the worker remembers for any operator but one, and gives the memory back."""
+    gone = [k for k in _memory if k[0] != but]
+    for k in gone:
+        del _memory[k]
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def remembered(operator: str, name: object, make: Callable[[], Any]) -> Any:
+    """The one thing that a worker process holds for ``operator``, made where it isn't held under this name."""
+    key = (operator, name)
+    if key not in _memory:
+        forget()
+        _memory[key] = make()
+    return _memory[key]
+
+
 def local_file(path: str) -> tuple[object, str]:
     """A pyarrow file system and the path inside it, for any URI that pyarrow knows."""
     from pyarrow import fs

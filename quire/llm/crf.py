@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,22 +211,21 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, row
 
 
 def toxic(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, carry: Column | None = None) -> DataFrame:
-    """Per document row: doc_id, score, predicted, spans (start, end, odds: code points of tokens likelier toxic than not,
-    neighbours joined) and, if given, the column ``carry`` as ``row``."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([carry.alias("row")] if carry is not None else []))
+    """Per document row: doc_id, score, predicted, spans (start, end: code points of tokens likelier toxic than not,
+    neighbours joined) and, if given, the column ``carry`` as ``row`` and the text as ``text``, null where it was."""
+    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([carry.alias("row")] if carry is not None else []))
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    names = ["doc_id"] + ["row"] * (carry is not None)
+    names = ["doc_id"] + ["row", "text"] * (carry is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for b in batches:
             for part in slices(b):
-                t = tokenize(part.column("text"), RUNS)
+                t = tokenize(pc.fill_null(part.column("text"), ""), RUNS)
                 odds = shared.value.marginals(t)
                 score = shared.value.scores(odds, t.bounds)
                 yield {x: part.column(x) for x in names} | {"score": score, "predicted": (score >= threshold).astype(np.int32), "spans": spans(t, odds)}
 
-    kinds = ", ".join(f"{x} {df.schema[x].dataType.simpleString()}" for x in names)
-    return arrow_map(df, run, f"{kinds}, score double, predicted int, spans array<struct<start:int,end:int>>")
+    return arrow_map(df, run, "score double, predicted int, spans array<struct<start:int,end:int>>", tuple(names))
 
 
 def spans(t: Tokens, odds: np.ndarray) -> list[list[dict]]:

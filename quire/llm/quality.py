@@ -161,8 +161,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, r
                 x = pooled(tokenize(part.column("text"), RUNS, lower=False), shared.value)
                 yield {"doc_id": part.column("doc_id"), "x": [v.tobytes() for v in x]}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    vectors = written(arrow_map(docs, run, f"doc_id {kind}, x binary"), "document-vectors")
+    vectors = written(arrow_map(docs, run, "x binary", ("doc_id",)), "document-vectors")
     chosen = vectors.join(F.broadcast(sample(labels, "quality", folds, held, rows)), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy("doc_id").collect()
     x = np.array([np.frombuffer(r.x, np.float32) for r in chosen], np.float64)
     net = docs.sparkSession.sparkContext.broadcast(fit(x, np.array([r.y for r in chosen], np.int64)))
@@ -173,7 +172,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, r
                 p = net.value.scores(np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(b.num_rows, -1).astype(np.float64))
                 yield {"doc_id": b.column("doc_id"), "score": p, "predicted": (p >= threshold).astype(np.int32)}
 
-    out = arrow_map(vectors, score, f"doc_id {kind}, score double, predicted int")
+    out = arrow_map(vectors, score, "score double, predicted int", ("doc_id",))
     return out.select("doc_id", (bucket(F.col("doc_id"), folds) == held).alias("held_out"), "score", "predicted")
 
 

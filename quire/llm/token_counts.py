@@ -19,15 +19,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, picked
+from .common import arrow_map, picked, remembered
 
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: A pre-token: contraction, word, number or sign run with at most one leading space, or white space.
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A blank inside a longer run of white space: there pieces between blanks can't be counted one by one.
 RUN = re.compile(r"\s \s|\s \Z")
-#: Entries of a worker's memory of counted pieces; it is emptied when full, so memory stays bounded.
-CACHE = 1_500_000
+#: Bytes of a worker's memory of counted pieces, and of an entry besides its letters; it is emptied when full.
+MEMORY, ENTRY = 96 << 20, 150
 PLACES = 1 << 40
 
 
@@ -55,6 +55,7 @@ class BytePairCounter:
         special = sorted((t["content"] for t in told["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.memo: dict[str, int] = {}
+        self.held = 0
 
     def pretoken(self, text: str) -> int:
         """Initial symbols minus merges of one pre-token."""
@@ -88,10 +89,12 @@ class BytePairCounter:
         """Tokens of a blank and the piece after it."""
         n = self.memo.get(piece)
         if n is None:
-            if len(self.memo) >= CACHE:
-                self.memo.clear()
             n = self.whole(" " + piece)
             if len(piece) < 64:
+                self.held += ENTRY + 2 * len(piece)
+                if self.held > MEMORY:
+                    self.memo.clear()
+                    self.held = 0
                 self.memo[piece] = n
         return n
 
@@ -112,14 +115,9 @@ class BytePairCounter:
         return len(self.special.findall(text)) + sum(self.plain(x) for x in self.special.split(text) if x)
 
 
-_counters: dict[str, BytePairCounter] = {}
-
-
 def counter(path: str) -> BytePairCounter:
     """One counter a worker process, with its memory."""
-    if path not in _counters:
-        _counters[path] = BytePairCounter(path)
-    return _counters[path]
+    return remembered("token_counts", path, lambda: BytePairCounter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,8 +130,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
             n = [*map(bpe.count, texts)]
             yield {"doc_id": b.column("doc_id"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
-    df = picked(docs, id_col, text_col)
-    return arrow_map(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(picked(docs, id_col, text_col), run, "n_bytes long, n_tokens long, over_limit boolean", ("doc_id",), "token_counts")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
