@@ -6,23 +6,24 @@ kept on both: no such span is missed. Fingerprints of documents join those of it
 and extended up to ``w - 1`` words either way, which covers every shared window that holds the hit. With k = w = 7 that
 is 13 words. An item of n < 13 words is one window: k = n and w = 1.
 
-Only (key, position, hash) rows of documents meet the items' fingerprints, not texts. Those are broadcast if their
-counted size is within a bound and shuffled else; likewise the hits on their way back to the texts.
+Texts are read once and never move. A bitmap of the items' hashes, of fixed size, tells which of a document's hashes can
+meet any; those that the winnowing keeps are written with their words and up to ``w - 1`` neighbours either way, which is
+all that checking and extending needs. What follows joins these short rows: with the items' fingerprints (broadcast
+within a counted bound; beyond it shuffled, common fingerprints spread over tasks), and the spans with the documents'
+numbers of words. A larger benchmark only fills the bitmap: then more of the rows are written, a quarter of all at most.
 
 Nulls and empty texts have no words and are never hit; items with a null id or no word never occur. Repeated document
 rows each get their row; items with equal texts all count. Extra columns are ignored. Texts of any length are read
-whole. Keys are 64-bit hashes, and so are fingerprints; a collision costs a check but can't add a hit.
+whole. Fingerprints are 64-bit hashes; a collision costs a check but can't add a hit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded, picked, written
-from .native import let, upto
+from .common import ascii_lower, picked, spread_join, written
+from .native import bitmap, in_bitmap, let, upto
 
 WINDOW, GRAM = 13, 7
 #: What isn't part of a word, once A-Z are lower case.
@@ -33,84 +34,72 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), GAP), "")
 
 
-def fingerprints(ws: Column, k: int, w: int) -> Column:
-    """Array of (at, hash, k): 1-based places whose k-gram hash is the smallest of some ``w`` consecutive ones."""
+def fingerprints(ws: Column, k: int, w: int, reach: int, bits: Column | None = None) -> Column:
+    """Array of (at, hash, k, before, gram, after): 1-based places whose k-gram hash is the smallest of some ``w``
+    consecutive ones (and in ``bits``, if given), with the gram's words and ``reach`` neighbours either way."""
     grams = F.transform(upto(F.size(ws) - (k - 1)), lambda i: F.xxhash64(F.slice(ws, i, k)))
 
-    def kept(h: Column) -> Column:
-        every = upto(F.size(h))
+    def kept(h: Column, i: Column) -> Column:
         if w == 1:
-            return F.transform(every, lambda i: F.struct(i.alias("at"), F.get(h, i - 1).alias("hash"), F.lit(k).alias("k")))
-        least = F.transform(upto(F.size(h) - (w - 1)), lambda i: F.array_min(F.slice(h, i, w)))
-        places = let(least, lambda m: F.filter(every, lambda i: F.array_contains(F.slice(m, F.greatest(F.lit(1), i - (w - 1)), F.least(i, F.lit(w))), F.get(h, i - 1))))
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.get(h, i - 1).alias("hash"), F.lit(k).alias("k")))
+            return F.lit(True)
+        windows = F.sequence(F.greatest(F.lit(1), i - (w - 1)), F.least(i, F.size(h) - (w - 1)))
+        return F.exists(windows, lambda j: F.array_min(F.slice(h, j, w)) == F.get(h, i - 1))
 
-    return let(grams, kept)
+    def places(h: Column) -> Column:
+        some = upto(F.size(h)) if bits is None else F.filter(upto(F.size(h)), lambda i: in_bitmap(bits, F.get(h, i - 1)))
+        return F.transform(F.filter(F.when(F.size(h) >= w, some).otherwise(upto(F.lit(0))), lambda i: kept(h, i)), lambda i: told(h, i))
 
+    def told(h: Column, i: Column) -> Column:
+        start = F.greatest(F.lit(1), i - reach)
+        return F.struct(
+            i.alias("at"), F.get(h, i - 1).alias("hash"), F.lit(k).alias("k"), F.slice(ws, start, i - start).alias("before"), F.slice(ws, i, k).alias("gram"),
+            F.slice(ws, i + k, F.lit(reach)).alias("after"),
+        )
 
-def printer(k: int, w: int) -> Callable[[Column], Column]:
-    return lambda ws: fingerprints(ws, k, w)
+    return let(grams, places)
 
 
-def matching(theirs: Column, ours) -> Column:
-    """How many leading words of ``theirs`` equal ``ours(0)``, ``ours(1)``, ..."""
-    first_off = F.array_position(F.transform(theirs, lambda x, i: F.coalesce(ours(i) == x, F.lit(False))), False)
+def matching(theirs: Column, ours: Column) -> Column:
+    """How many leading words two arrays have in common."""
+    first_off = F.array_position(F.transform(theirs, lambda x, i: F.coalesce(F.get(ours, i) == x, F.lit(False))), False)
     return F.when(first_off == 0, F.size(theirs)).otherwise(first_off.cast("int") - 1)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, carry: Column | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, items (ids of occurring items as sorted strings), spans of hit words
-    (first, last, item_id), over whole texts; and, if given, the column ``carry`` as ``row``."""
+    (first, last, item_id), over whole texts."""
     items = picked(benchmark, "item_id").filter("doc_id is not null").select(F.col("doc_id").cast("string").alias("item_id"), words(F.col("text")).alias("ws"))
     items = written(items.filter(F.size("ws") > 0), "items")
     short = sorted(r[0] for r in items.filter(F.size("ws") < window).select(F.size("ws")).distinct().collect())  # at most window - 1 values
-    sizes = [(gram, window - gram + 1), *((n, 1) for n in short)]
-
-    ws, n = F.col("ws"), F.size("ws")
-    rows = [
-        items.filter(n >= window if w > 1 else n == k).select("item_id", "ws", F.lit(min(window, k) if w == 1 else window).alias("need"), F.explode(let(ws, printer(k, w))).alias("f"))
-        for k, w in sizes
-    ]
-    known = rows[0]
-    for x in rows[1:]:
-        known = known.unionByName(x)
-    at, k = F.col("f.at"), F.col("f.k")
-    reach = window - gram
-    start = F.greatest(F.lit(1), at - reach)
-    known = known.select(
-        F.col("f.hash").alias("hash"), k.alias("k"), "item_id", "need",
-        F.slice(ws, start, at - start).alias("before"), F.slice(ws, at, k).alias("gram"),
-        F.slice(ws, at + k, F.lit(reach)).alias("after"),
-    )
-    known = bounded(written(known, "item-fingerprints"), 600)
-
-    own = [F.lit(None).alias("row") if carry is None else carry.alias("row")]
-    keyed = picked(docs, id_col, text_col, own).withColumn("key", F.xxhash64("doc_id", "text"))
-    all_prints = let(words(F.col("text")), lambda x: F.concat(*(fingerprints(x, k, w) for k, w in sizes)))
-    prints = keyed.select("key", F.explode(all_prints).alias("f")).select("key", F.col("f.at").alias("at"), F.col("f.hash").alias("hash"), F.col("f.k").alias("k"))
-    hits = prints.join(known, ["hash", "k"]).select("key", F.struct("at", "k", "item_id", "need", "before", "gram", "after").alias("hit"))
-    hits = written(hits.groupBy("key").agg(F.collect_set("hit").alias("hits")), "hits")
-    total = hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
-    hits = F.broadcast(hits) if total * 600 <= 32 << 20 else hits
+    sizes, reach = [(gram, window - gram + 1), *((n, 1) for n in short)], window - gram
+
+    known = None
+    for k, w in sizes:
+        mine = items.filter(F.size("ws") >= window if w > 1 else F.size("ws") == k)
+        found = mine.select("item_id", F.lit(window if w > 1 else k).alias("need"), F.explode(let(F.col("ws"), lambda x: fingerprints(x, k, w, reach))).alias("f"))  # noqa: B023
+        known = found if known is None else known.unionByName(found)
+    context = [F.col(f"f.{c}").alias(f"its_{c}") for c in ("before", "gram", "after")]
+    known = known.select("item_id", "need", "f.hash", "f.k", *context).groupBy("hash", "k", "need", "its_before", "its_gram", "its_after").agg(F.collect_set("item_id").alias("item_ids"))
+    known = written(known, "item-fingerprints")
+    bits = bitmap(known, "hash")
 
     none = F.array().cast("array<struct<first:int,last:int,item_id:string>>")
-    found = let(words(F.col("text")), lambda x: F.struct(F.size(x).cast("long").alias("n_words"), F.when(F.col("hits").isNotNull(), extended(x, F.col("hits"))).otherwise(none).alias("spans")))
-    out = keyed.join(hits, "key", "left").select("doc_id", "row", found.alias("r")).select("doc_id", "row", "r.*")
+    texts = picked(docs, id_col, text_col)
+    if bits is None:
+        return texts.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), none.alias("spans"))
+
+    all_prints = lambda x: F.struct(F.size(x).cast("long").alias("n_words"), F.concat(*(fingerprints(x, k, w, reach, bits) for k, w in sizes)).alias("prints"))
+    told = texts.select("doc_id", let(words(F.col("text")), all_prints).alias("r")).select("doc_id", "r.*")
+    told = written(told.withColumn("row", F.monotonically_increasing_id()), "document-fingerprints")
+
+    met = spread_join(told.select("row", F.explode("prints").alias("f")).select("row", "f.*"), known, ["hash", "k"], "inner", 600)
+    left, right = matching(F.reverse("its_before"), F.reverse("before")), matching(F.col("its_after"), F.col("after"))
+    first, last = F.col("at") - left, F.col("at") + F.col("k") - 1 + right
+    spans = met.filter(F.col("gram") == F.col("its_gram")).select("row", first.alias("first"), last.alias("last"), "need", "item_ids").filter("last - first + 1 >= need")
+    spans = spans.select("row", "first", "last", F.explode("item_ids").alias("item_id")).groupBy("row").agg(F.collect_set(F.struct("first", "last", "item_id")).alias("spans"))
+    out = told.select("row", "doc_id", "n_words").join(spans, "row", "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"))
     hit_words = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))))
-    return out.select("doc_id", "n_words", F.when(F.size("spans") > 0, hit_words).otherwise(0).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))).alias("items"), "spans", *["row"] * (carry is not None))
-
-
-def extended(ws: Column, hits: Column) -> Column:
-    """Array of (first, last, item_id): hits checked and extended that hold a window; 1-based places, ends included."""
-
-    def one(h: Column) -> Column:
-        left = matching(F.reverse(h["before"]), lambda i: F.get(ws, h["at"] - 2 - i))
-        right = matching(h["after"], lambda i: F.get(ws, h["at"] - 1 + h["k"] + i))
-        first, last = h["at"] - left, h["at"] + h["k"] - 1 + right
-        ok = (F.slice(ws, h["at"], h["k"]) == h["gram"]) & (last - first + 1 >= h["need"])
-        return F.when(ok, F.struct(first.alias("first"), last.alias("last"), h["item_id"].alias("item_id")))
-
-    return F.filter(F.transform(hits, one), lambda s: s.isNotNull())
+    return out.select("doc_id", "n_words", F.when(F.size("spans") > 0, hit_words).otherwise(0).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))).alias("items"), "spans")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
