@@ -6,7 +6,8 @@
    Frequent tokens are told by a bitmap of fixed size, filled from a sample of texts. Any order gives the same result:
    the sample bears on speed alone.
 3. Classes that share their least common prefix token and are about as large are partitioned into groups of some
-   ``GROUP`` members; larger ones are split by hash. Each group stores the union of its members' tokens.
+   ``GROUP`` members, fewer if their texts are long; larger ones are split by hash. Each group stores the union of its
+   members' tokens.
 4. A query meets those groups whose members' prefixes hold that many of its prefix tokens. Overlap with the union bounds the overlap
    with every member, so the group is opened only if that reaches 0.8 of the query; then each member is compared whole.
 5. Links between classes are closed to components by label propagation with pointer jumping, each round a written table.
@@ -14,7 +15,7 @@
 Copies are counted through their class and never paired. Documents without words have empty sets and link with
 nothing. A null text is empty; rows with null ids are documents as others, and a component's id is the smallest id that
 isn't null. Repeated rows are separate documents with one id. Extra columns are ignored; texts of any length are read
-whole. Tokens and classes are named by 64- and 128-bit hashes.
+whole. Tokens are named by 64-bit hashes, texts and classes by 128 bits.
 """
 
 from __future__ import annotations
@@ -23,11 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, bounded, picked, written
-from .native import let, upto
+from .native import bitmap, in_bitmap, let, upto
 
 WORDS, GROUP = 5, 16
-#: Bits of the bitmap of frequent tokens, the share of texts that fills it, and how often a token must be seen in those.
-BITS, SHARE, SEEN = 1 << 20, 32, 4
+#: Tokens in a group beyond which it is split, so that one of long texts has fewer members.
+TOKENS = 1 << 21
+#: Classes with a token beyond which its rows are spread over ``SALTS`` tasks.
+HOT, SALTS = 4096, 16
+#: The share of texts that fills the bitmap of frequent tokens, and how often a token must be seen in those.
+SHARE, SEEN = 32, 4
 #: The most tokens that fill it; with fewer bits set than not, it still tells frequent from rare.
 FREQUENT = 1 << 18
 
@@ -56,46 +61,36 @@ def frequent_tokens(texts: DataFrame) -> Column | None:
     """The bitmap of frequent tokens as a constant array of longs; None if there are none."""
     some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0).groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"))
     often = some.select(F.explode(shingles(F.col("text"))).alias("t")).groupBy("t").count().filter(F.col("count") >= SEEN).orderBy(F.desc("count"), "t").limit(FREQUENT)
-    place = F.col("t").bitwiseAND(F.lit(BITS - 1))
-    words = often.groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(t & 63 AS int))")).alias("bits"))
-    rows = words.collect()  # at most BITS / 64
-    if not rows:
-        return None
-    table = ["0"] * (BITS // 64)
-    for w, bits in rows:
-        table[w] = str(bits)
-    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")  # folded to a constant by the optimizer
-
-
-def prefix(tokens: Column, bitmap: Column | None) -> Column:
+    return bitmap(often, "t")
+
+
+def prefix(tokens: Column, bits: Column | None) -> Column:
     def take(s: Column, cold: Column) -> Column:
         n = F.size(s) - needed(F.size(s)) + alike(F.size(s))
         return F.slice(F.when(F.size(cold) >= n, cold).otherwise(F.concat(cold, F.array_except(s, cold))), 1, n)
 
-    if bitmap is None:
+    if bits is None:
         return let(tokens, lambda s: F.when(F.size(s) > 0, take(s, s)).otherwise(s))
-    def is_rare(t: Column) -> Column:
-        word = F.get(bitmap, F.shiftright(t.bitwiseAND(F.lit(BITS - 1)), 6).cast("int"))
-        return F.getbit(word, t.bitwiseAND(F.lit(63)).cast("int")) == 0
-
-    return let(tokens, lambda s: F.when(F.size(s) > 0, let(F.filter(s, is_rare), lambda cold: take(s, cold))).otherwise(s))
+    return let(tokens, lambda s: F.when(F.size(s) > 0, let(F.filter(s, lambda t: ~in_bitmap(bits, t)), lambda cold: take(s, cold))).otherwise(s))
 
 
 def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (q, m) of similar classes, q < m. ``classes``: cid, n, a, b, text_hash, prefix; ``texts``: text_hash, text."""
+    """Pairs (q, m) of similar classes, q < m. ``classes``: cid, n, a, b, text_hash (128 bits), prefix; ``texts``: text_hash, text."""
     posted = classes.select("cid", "n", F.explode("prefix").alias("t"))
-    twice = posted.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t")
-    shared = written(posted.join(twice, "t", "left_semi"), "shared-tokens")
+    twice = posted.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t", (F.col("c") > HOT).alias("hot"))
+    shared = written(posted.join(twice, "t"), "shared-tokens")
 
     # the partition: least shared token and size, split by hash where that has more than GROUP classes
     least = shared.groupBy("cid").agg(F.min("t").alias("g"), F.first("n").alias("n")).withColumn("s", F.floor(F.log(F.col("n")) / F.log(F.lit(1.1))).cast("int"))
-    parts = least.groupBy("g", "s").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    parts = least.groupBy("g", "s").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / TOKENS)).alias("parts"))
     placed = least.join(parts, ["g", "s"]).select("cid", "n", F.xxhash64("g", "s", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("gid"))
     placed = written(placed, "groups")
 
     ranges = placed.groupBy("gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("cid").alias("last"))
-    group_posts = shared.select("t", "cid").join(placed.select("cid", "gid"), "cid").select("t", "gid").distinct().join(ranges, "gid")
-    met = shared.select("t", F.col("cid").alias("q"), F.col("n").alias("nq")).join(group_posts, "t")
+    group_posts = shared.select("t", "hot", "cid").join(placed.select("cid", "gid"), "cid").select("t", "hot", "gid").distinct().join(ranges, "gid")
+    salt = lambda hot: F.explode(F.when(F.col("hot"), hot).otherwise(F.array(F.lit(0)))).alias("salt")
+    asked = shared.select("t", F.col("cid").alias("q"), F.col("n").alias("nq"), salt(F.array(F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))))
+    met = asked.join(group_posts.select("t", "gid", "low", "high", "last", salt(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["t", "salt"])
     met = met.filter("last > q AND 5 * high >= 4 * nq AND 4 * low <= 5 * nq").groupBy("q", "nq", "gid").agg(F.count("*").alias("common"), F.first("low").alias("low"))
     met = written(met.filter(F.col("common") >= alike(F.least("nq", "low"))).select("q", "nq", "gid"), "met")
 
@@ -139,14 +134,15 @@ def components(pairs: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, n_shingles, n_similar, component_id, class_id."""
     docs = picked(docs, id_col, text_col)
-    bitmap = frequent_tokens(docs)
-    head = lambda s: F.struct(F.size(s).alias("n"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"), prefix(s, bitmap).alias("prefix"))
-    rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), let(shingles(F.col("text")), head).alias("x")).select("doc_id", "text_hash", "x.*"), "rows")
+    bits = frequent_tokens(docs)
+    text_hash = F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), F.col("text")).alias("y"))  # of 128 bits
+    head = lambda s: F.struct(F.size(s).alias("n"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"), prefix(s, bits).alias("prefix"))
+    rows = written(docs.select("doc_id", text_hash.alias("text_hash"), let(shingles(F.col("text")), head).alias("x")).select("doc_id", "text_hash", "x.*"), "rows")
 
     classes = rows.filter("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("text_hash").alias("text_hash"), F.first("prefix").alias("prefix"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     rows = written(rows.select("doc_id", "n", "a", "b"), "short-rows", instead_of=rows)
-    pairs = written(links(classes.select("cid", "n", "a", "b", "text_hash", "prefix"), docs.select(F.xxhash64("text").alias("text_hash"), "text")), "links")
+    pairs = written(links(classes.select("cid", "n", "a", "b", "text_hash", "prefix"), docs.select(text_hash.alias("text_hash"), "text")), "links")
     short = classes.select("cid", "copies", "first_id")
     if pairs.isEmpty():
         told = short.select("cid", F.lit(0).cast("long").alias("others"), F.col("first_id").alias("component_id"))
