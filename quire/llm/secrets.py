@@ -20,7 +20,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, picked, written
+from .common import bounded, bucket, fits, picked, written
 from .native import let
 
 
@@ -78,17 +78,28 @@ def scan(text: Column, rule: Rule, rank: int) -> Column:
 
 def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The ledger after scanning the blobs of ``docs`` (blob, text): one row per blob with its rules (array of versions)
-    and spans. ``ledger``: one of earlier runs; its other blobs are kept, spans of versions no longer in use go."""
-    blobs = docs.groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.select("blob", F.col("rules").alias("seen"), F.col("spans").alias("old")), "blob", "full")
+    and spans. ``ledger``: one of earlier runs; its other blobs are kept, spans of versions no longer in use go.
+
+    The ledger is asked with the blobs' names alone. Texts of unseen blobs are then fetched by a broadcast of those names
+    within a counted bound; beyond it all distinct texts are shuffled once, and the seen ones dropped where they meet."""
+    none, now = F.array().cast(SPAN), F.array(*(F.lit(r.version) for r in rules))
+    if ledger is None:
+        new = docs.groupBy("blob").agg(F.first("text").alias("text")).withColumns({"seen": F.array().cast("array<string>"), "old": none})
     else:
-        blobs = blobs.withColumns({"seen": F.array().cast("array<string>"), "old": F.array().cast(SPAN)})
-    none, seen = F.array().cast(SPAN), F.coalesce("seen", F.array().cast("array<string>"))
-    fresh = F.flatten(F.array(*(F.when(F.col("text").isNotNull() & ~F.array_contains(seen, r.version), scan(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules))))
-    kept = F.filter(F.coalesce("old", none), lambda s: F.exists(seen, lambda v: v.startswith(F.concat(s["kind"], F.lit("@"))) & v.isin([r.version for r in rules])))
-    now = F.array(*(F.lit(r.version) for r in rules))
-    return blobs.select("blob", F.when(F.col("text").isNotNull(), now).otherwise(seen).alias("rules"), F.array_sort(F.concat(kept, fresh)).alias("spans"))
+        done = ledger.filter(F.size(F.array_except(now, "rules")) == 0).select("blob")
+        unseen = written(docs.select("blob").distinct().join(done, "blob", "left_anti"), "unseen-blobs")
+        if fits(unseen, 100):
+            texts = docs.join(F.broadcast(unseen), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+        else:
+            texts = docs.groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob", "left_semi")
+        new = texts.join(ledger.select("blob", F.col("rules").alias("seen"), F.col("spans").alias("old")), "blob", "left")
+    seen = F.coalesce("seen", F.array().cast("array<string>"))
+    fresh = F.flatten(F.array(*(F.when(~F.array_contains(seen, r.version), scan(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules))))
+    kept = lambda old, of: F.filter(F.coalesce(old, none), lambda s: F.exists(of, lambda v: v.startswith(F.concat(s["kind"], F.lit("@"))) & v.isin([r.version for r in rules])))
+    told = new.select("blob", now.alias("rules"), F.array_sort(F.concat(kept("old", seen), fresh)).alias("spans"))
+    if ledger is None:
+        return told
+    return told.unionByName(ledger.join(unseen, "blob", "left_anti").select("blob", "rules", F.array_sort(kept("spans", F.col("rules"))).alias("spans")))
 
 
 def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +130,11 @@ def joined(spans: Column) -> Column:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The documents come in two deliveries, by their id: the first fills the ledger; of all versions, the second run scans
+    those alone whose blobs the ledger lacks, and findings of both are joined to every row."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    _, ledger = find_secrets(docs.filter(bucket(F.col("doc_id"), 2) == 0))
+    found, _ = find_secrets(docs, ledger)
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["rank"] < 3)
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
