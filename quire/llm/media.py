@@ -2,7 +2,8 @@
 
 A payload is stored as a grey PNG of one line, 8 bits a sample, under the SHA-256 of the payload. Each distinct payload
 is stored once: digests that occur more than once are deduplicated by a shuffle of their own rows alone, all others are
-written where they are read. The manifest (digest, shard, offset, length) is a written table; shards of lost task
+written where they are read. If there are more repeated digests than may be broadcast, all payloads are deduplicated by
+one shuffle; either way a task sends a payload once, however often it holds it. The manifest (digest, shard, offset, length) is a written table; shards of lost task
 attempts are never in it. Metadata columns come from a range read of the image's header, 33 bytes; features from a read
 of the whole object.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded, picked, work_path, written
+from .common import arrow_map, fits, picked, spread_join, work_path, written
 from .files import RangeReader, ShardWriter
 
 UNIT = 64
@@ -86,8 +87,12 @@ def padded(text_bytes: F.Column) -> F.Column:
 def store(payloads: DataFrame, folder: str, shard: int = SHARD) -> DataFrame:
     """Stores each distinct payload of ``payloads`` (digest, payload) once; the manifest: digest, shard, offset, length."""
     again = written(payloads.groupBy("digest").count().filter("count > 1").select("digest"), "repeated-digests")
-    again = bounded(again, 100)
-    once = payloads.join(again, "digest", "left_anti").unionByName(payloads.join(again, "digest", "left_semi").groupBy("digest").agg(F.first("payload").alias("payload")))
+    first = lambda df: df.groupBy("digest").agg(F.first("payload").alias("payload"))
+    if fits(again, 100):
+        again = F.broadcast(again)
+        once = payloads.join(again, "digest", "left_anti").unionByName(first(payloads.join(again, "digest", "left_semi")))
+    else:
+        once = first(payloads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         out = ShardWriter(folder, ".tar", shard)
@@ -110,7 +115,7 @@ def store(payloads: DataFrame, folder: str, shard: int = SHARD) -> DataFrame:
 def filled(manifest: DataFrame, whole: bool = True) -> DataFrame:
     """``manifest`` with metadata columns (width, height, bits) from header-only range reads and, if ``whole``, columns
     computed from the object read back: payload_sha256, payload_bytes, tail_crc32, media_sha256, feature."""
-    names = ["digest", "width", "height", "bits"] + ["payload_sha256", "payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature"] * whole
+    names = ["digest", "shard", "offset", "length", "width", "height", "bits"] + ["payload_sha256", "payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature"] * whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         source, opened = None, ""
@@ -121,7 +126,7 @@ def filled(manifest: DataFrame, whole: bool = True) -> DataFrame:
                     if source:
                         source.close()
                     source, opened = RangeReader(shard), shard
-                row = (digest, *header(source.range(at, HEADER)))
+                row = (digest, shard, at, n, *header(source.range(at, HEADER)))
                 if whole:
                     image = source.read(at, n)
                     payload = decode(image)
@@ -131,21 +136,18 @@ def filled(manifest: DataFrame, whole: bool = True) -> DataFrame:
         if source:
             source.close()
 
-    kinds = {"digest": "string", "width": "long", "height": "long", "bits": "int", "payload_bytes": "long", "tail_crc32": "long", "media_bytes": "long"}
-    return arrow_map(manifest.select("digest", "shard", "offset", "length"), run, ", ".join(f"{x} {kinds.get(x, 'string')}" for x in names))
+    kinds = {"offset": "long", "length": "long", "width": "long", "height": "long", "bits": "int", "payload_bytes": "long", "tail_crc32": "long", "media_bytes": "long"}
+    return arrow_map(manifest, run, ", ".join(f"{x} {kinds.get(x, 'string')}" for x in names))
 
 
 def media_columns(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, n_bytes, digest, shard, offset, length, metadata and what was computed from the stored bytes."""
     rows = picked(docs, id_col, text_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), padded(F.col("text").cast("binary")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     manifest = store(rows.select("digest", "payload"), folder)
-    told = manifest.join(filled(manifest), "digest")
-    return rows.select("doc_id", "n_bytes", "digest").join(told, "digest", "left")
+    told = written(filled(manifest), "media")
+    return spread_join(rows.select("doc_id", "n_bytes", "digest"), told, ["digest"], "left", 600)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = picked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    rows = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), padded(F.col("text").cast("binary")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    manifest = store(rows.select("digest", "payload"), work_path(spark, "media"))
-    out = rows.select("doc_id", "n_bytes", "digest").join(filled(manifest), "digest", "left")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    told = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), work_path(spark, "media"))
+    return told.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bits")
