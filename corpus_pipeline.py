@@ -20,29 +20,50 @@ def row() -> F.Column:
     return F.struct("*")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Whole rows as ``row``, the text, and what names a row: its id and a hash of its text as ``key``, the same without nulls as ``k``."""
+    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    return docs.select(row().alias("row"), key.alias("key"), F.col("text").alias("text")).withColumn("k", without_nulls(F.col("key")))
+
+
+def without_nulls(key: F.Column) -> F.Column:
+    return F.struct(F.coalesce(key["i"], F.lit(-1)), key["i"].isNull(), key["h"])
+
+
+def chosen(told: DataFrame, name: str) -> DataFrame:
+    """The names of an operator's rows ``told`` as a written table; broadcast within the bound, else whole rows are shuffled to it."""
+    return bounded(written(told.select(without_nulls(F.col("doc_id")).alias("k")).distinct(), name), 60)
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field doesn't predict toxic. It is fitted on the labelled documents of ``sf_dir``."""
     field = crf.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return crf.toxic(docs, field, carry=row()).filter("predicted = 0").select("row.*")
+    rest = F.struct(F.lit(0), *(F.col(quoted(c)) for c in docs.columns if c != "text"))  # the text goes beside it, once
+    kept = crf.toxic(docs, field, carry=rest).filter("predicted = 0")
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.{quoted(c)}") for c in docs.columns))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents, the one with the smallest id; of rows with one id, that with the smallest text hash."""
-    keyed = docs.select(row().alias("row"), F.struct(F.col("doc_id").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("key"), F.col("text").alias("text"))
-    groups = jaccard.similar_documents(keyed, id_col="key")
-    gone = bounded(written(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "removed"), 60)
-    again = bounded(written(groups.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated"), 60)
-    key = F.struct(F.coalesce("key.i", F.lit(-1)), F.col("key.i").isNull(), F.col("key.h"))
-    match = lambda x: x.select(F.struct(F.coalesce("doc_id.i", F.lit(-1)), F.col("doc_id.i").isNull(), F.col("doc_id.h")).alias("k"))
-    kept = keyed.withColumn("k", key).join(match(gone), "k", "left_anti")
-    single = kept.join(match(again), "k", "left_anti").select("row")
-    return single.unionByName(kept.join(match(again), "k", "left_semi").groupBy("k").agg(F.first("row").alias("row")).select("row")).select("row.*")
+    rows = keyed(docs)
+    groups = jaccard.similar_documents(rows, id_col="key")
+    gone = chosen(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "removed")
+    again = chosen(groups.groupBy("doc_id").count().filter("count > 1"), "repeated")
+    kept = rows.join(gone, "k", "left_anti")
+    single = kept.join(again, "k", "left_anti").select("row")
+    return single.unionByName(kept.join(again, "k", "left_semi").groupBy("k").agg(F.first("row").alias("row")).select("row")).select("row.*")
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lie in passages of the benchmark."""
-    marked = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=row())
-    return marked.filter(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).select("row.*")
+    rows = keyed(docs)
+    marked = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    gone = chosen(marked.filter((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))), "contaminated")
+    return rows.join(gone, "k", "left_anti").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +72,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     some = F.size("spans") > 0
     text = F.when(some, secrets.redacted(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
     return found.select(F.col("row"), some.alias("some"), text.alias("clean")).select(
-        *(F.col("clean").alias("text") if c == "text" else F.when(F.col("some"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns)
+        *(F.col("clean").alias("text") if c == "text" else F.when(F.col("some"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"row.{quoted(c)}") for c in docs.columns)
     )
 
 
