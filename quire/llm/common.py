@@ -96,10 +96,10 @@ def picked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(more or []))
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str, keep: tuple[str, ...] = (), memory: str = "") -> DataFrame:
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str | StructType, keep: tuple[str, ...] = (), memory: str = "") -> DataFrame:
     """``mapInArrow`` over a function that yields columns as dictionaries of lists: the columns ``keep`` of ``df``, with their
     types, and those of ``schema``. What a worker remembers for anything but ``memory`` (see ``remembered``) is dropped first."""
-    types = df.sparkSession.createDataFrame([], schema).schema
+    types = schema if isinstance(schema, StructType) else df.sparkSession.createDataFrame([], schema).schema
     types = StructType([StructField(c, df.schema[c].dataType) for c in keep] + types.fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -1,19 +1,22 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counting: words and word pairs of all training texts are hashed to 64 bits, counted per task and sent, as sorted runs,
-to the segment of the hash space that they fall in; the number of segments follows the bytes of text, so that each is
-merged in bounded memory. A count c has level 1 + floor(log2 c), and its n-gram enters the segment's filter once for
-every level up to that, so the filter grows with the distinct n-grams. Segments are a written table.
+Lots: texts are hashed to words (64 bits) and written as lots of some ``LOT`` tokens, each the distinct words of its texts
+and a number for every token. All else reads lots, so texts are read once.
+
+Counting: the distinct words and word pairs of a lot go, as sorted runs with their counts in training texts, to the
+segment of the hash space that they fall in; the number of segments follows the bytes of text, so that each is merged in
+bounded memory. A count c has level 1 + floor(log2 c), and its n-gram enters the segment's filter once for every level up
+to that, so the filter grows with the distinct n-grams. It has no size bound, so it isn't broadcast whole: a segment's
+part serves the worker that merged it, which probes it for all n-grams of the runs that it was sent and returns a byte
+for each. So probing needs no shuffle of its own and works alike at every size. The segments are a written table.
 
 Scoring: a count is read by probing levels 1, 2, ... until one is missing; level j stands for the middle of its range. A
-token's probability is L min(1, c(h w)/c(h)) + (1 - L) p(w), p being add-half smoothed, with one L for each level of
-c(h), fitted by expectation maximisation on a histogram over all training tokens with their own occurrence left out.
-The filter goes to the workers as a broadcast variable while its counted bytes are within ``FILTER``, which bounds what
-passes through the driver; beyond, each worker reads it from the written table, whole up to ``WHOLE`` bytes and else by
-segments as they are probed. The result is the same.
+token's score is that of L min(1, c(h w)/c(h)) + (1 - L) p(w), p being add-half smoothed, with one L for each level of
+c(h), fitted by expectation maximisation on a histogram over all training tokens with their own occurrence left out. As
+counts are quantised, the sum over all words isn't exactly 1. A filter tells too high a level for some absent n-grams (about
+0.4 % of them), never too low a one.
 
-The base score is exact: the most frequent ``TOP`` words are looked up in a broadcast table of fixed size, all other
-words of a document are joined with the whole table of counts.
+The base score is exact but for collisions of 64-bit hashes: segments return the exact counts of words beside the levels.
 
 Null and empty texts are one end token. Repeated rows count again and each get their row; a null id hashes as ''. Extra
 columns are ignored. Without training tokens N and V are 0 and every p(w) is 1. Texts are read whole.
@@ -22,70 +25,138 @@ columns are ignored. Without training tokens N and V are 0 and every p(w) is 1.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from .common import arrow_map, bucket, local_file, picked, work_path, written
+from .common import arrow_map, bucket, picked, written
 from .words import BLANKS, ONE, TWO, mix, slices, sums, tokenize
 
 #: Bits of filter for an entry, and probes for one.
 BITS, PROBES = 12, 6
-#: Bytes of text for a segment; tokens that a task counts before it sends them on.
-SEGMENT, FLUSH = 16 << 20, 2_000_000
-#: The largest filter, in bytes, that passes through the driver, and that a worker holds; words in the broadcast table.
-FILTER, WHOLE, TOP = 32 << 20, 512 << 20, 1 << 18
+#: Bytes of text for a segment, and tokens of a lot.
+SEGMENT, LOT = 8 << 20, 1 << 20
 KEY = np.uint64((1 << 48) - 1)
-WORDS, PAIRS = 0, 1
+WORDS, PAIRS, FILTER = 0, 1, 2
 END = np.uint64(0xE2D)
 START = np.uint64(0x57A27)
 BINS = 256
 
 
-def stream(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens with an end after each text, hashes of the pairs that they end, and the bounds of the texts."""
+def stream(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens with an end after each text, and the number of tokens of each text."""
     t = tokenize(batch.column("text"), BLANKS)
-    n = len(t.bounds) - 1
-    bounds = t.bounds + np.arange(n + 1)
-    word = np.empty(bounds[-1], np.uint64)
-    ends = bounds[1:] - 1
+    size = np.diff(t.bounds) + 1
+    word = np.empty(int(size.sum()), np.uint64)
+    ends = np.cumsum(size) - 1
     own = np.ones(len(word), bool)
     own[ends] = False
     word[ends] = END
     word[own] = t.hashes()
+    return word, size
+
+
+def paired(word: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs that the tokens end."""
     before = np.roll(word, 1)
     before[bounds[:-1]] = START
-    return word, mix(before * ONE ^ (word + TWO)), bounds
+    return mix(before * ONE ^ (word + TWO))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^32, byte by byte of all of them, which packs well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def lots(docs: DataFrame, lot: int) -> DataFrame:
+    """The written table of lots of ``docs`` (doc_id, text, held_out): lot, ids, held, sizes, words, tokens, n_train."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        def flushed(held: list) -> dict[str, list]:
+            words, which = np.unique(np.concatenate([w for w, _, _ in held]), return_inverse=True)
+            flags = [x for _, _, b in held for x in b.column("held_out").to_pylist()]
+            return {
+                "ids": [[x for _, _, b in held for x in b.column("doc_id").to_pylist()]], "held": [flags], "sizes": [planes(np.concatenate([n for _, n, _ in held]))],
+                "words": [words.tobytes()], "tokens": [planes(which)], "n_train": [len(flags) - sum(flags)],
+            }
+
+        held, n = [], 0
+        for b in batches:
+            for part in slices(b):
+                held.append((*stream(part), part))
+                n += len(held[-1][0])
+                if n >= lot:
+                    yield flushed(held)
+                    held, n = [], 0
+        if held:
+            yield flushed(held)
+
+    kinds = [("ids", ArrayType(docs.schema["doc_id"].dataType)), ("held", ArrayType(BooleanType())), ("sizes", BinaryType()), ("words", BinaryType()), ("tokens", BinaryType()), ("n_train", LongType())]
+    return written(arrow_map(docs, run, StructType([StructField(*x) for x in kinds])).withColumn("lot", F.monotonically_increasing_id()), "lm-lots")
+
+
+class Lot:
+    """A lot's tokens: ``words`` are its distinct words and ``which`` each token's place among them, ``pairs`` and ``whose``
+    the same of pairs; all sorted by hash. Text k has tokens bounds[k]..bounds[k+1]; ``training`` marks tokens."""
+
+    def __init__(self, b: pa.RecordBatch, k: int) -> None:
+        self.words = np.frombuffer(b.column("words")[k].as_buffer(), np.uint64)
+        self.which = unplaned(b.column("tokens")[k].as_buffer())
+        size = unplaned(b.column("sizes")[k].as_buffer()).astype(np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(size)])
+        self.training = ~np.repeat(np.array(b.column("held")[k].as_py(), bool), size)
+        self.pairs, self.whose = np.unique(paired(self.words[self.which], self.bounds), return_inverse=True)
+
+    def counted(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Kind, hashes and counts in training texts."""
+        for kind, keys, at in ((WORDS, self.words, self.which), (PAIRS, self.pairs, self.whose)):
+            yield kind, keys, np.bincount(at[self.training], minlength=len(keys))
 
 
 def segment(h: np.ndarray, segments: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) * np.uint64(segments)) >> np.uint64(16)
+    return ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+
 
+def runs(table: DataFrame, segments: int) -> DataFrame:
+    """lot, seg, kind, keys, counts: what each lot has for each segment; pairs keep 48 bits, which with the segment name them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for b in batches:
+            for k in range(b.num_rows):
+                rows = []
+                for kind, keys, counts in Lot(b, k).counted():
+                    seg = segment(keys, segments)
+                    first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(keys) else []
+                    for at, to in zip(first, [*first[1:], len(keys)]):
+                        own = keys[at:to]
+                        raw = own.tobytes() if kind == WORDS else np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                        rows.append((b.column("lot")[k].as_py(), int(seg[at]), kind, raw, counts[at:to].astype(np.uint32).tobytes()))
+                yield dict(zip(("lot", "seg", "kind", "keys", "counts"), zip(*rows)))
 
-def sent(h: np.ndarray, kind: int, segments: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(segment, kind, keys, counts) of the distinct hashes; pairs keep 48 bits, which with the segment name them."""
-    keys, counts = np.unique(h, return_counts=True)
-    at = np.searchsorted(segment(keys, segments), np.arange(segments + 1))
-    for s in range(segments):
-        k = keys[at[s] : at[s + 1]]
-        if len(k):
-            raw = k.tobytes() if kind == WORDS else np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-            yield s, kind, raw, counts[at[s] : at[s + 1]].astype(np.uint32).tobytes()
+    return arrow_map(table, run, "lot long, seg long, kind int, keys binary, counts binary")
+
+
+def unpacked(raw: bytes, kind: int) -> np.ndarray:
+    if kind == WORDS:
+        return np.frombuffer(raw, np.uint64)
+    whole = np.zeros((len(raw) // 6, 8), np.uint8)
+    whole[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return whole.view(np.uint64).ravel()
 
 
 def merged(rows: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their counts in all lots, of those that training texts have."""
     rows = rows[rows["kind"] == kind]
-    raw, counts = b"".join(rows["keys"]), np.frombuffer(b"".join(rows["counts"]), np.uint32)
-    if kind == WORDS:
-        keys = np.frombuffer(raw, np.uint64)
-    else:
-        whole = np.zeros((len(raw) // 6, 8), np.uint8)
-        whole[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        keys = whole.view(np.uint64).ravel()
+    keys, counts = unpacked(b"".join(rows["keys"]), kind), np.frombuffer(b"".join(rows["counts"]), np.uint32)
+    keys, counts = keys[counts > 0], counts[counts > 0]
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order].astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
@@ -109,167 +180,98 @@ def places(g: np.ndarray, size: np.ndarray | np.uint64, probe: int) -> np.ndarra
     return ((g & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * ((g >> np.uint64(32)) | np.uint64(1))) % size
 
 
-def build(rows: pd.DataFrame) -> pd.DataFrame:
-    """One segment: its filter and the exact counts of its words."""
-    (words, n), (pairs, m) = merged(rows, WORDS), merged(rows, PAIRS)
-    entries = int(level_of(n).sum() + level_of(m).sum())
-    size = np.uint64(max(64, -(-entries * BITS // 64) * 64))
-    bits = np.zeros(int(size), bool)
-    for keys, counts, kind in ((words, n, WORDS), (pairs, m, PAIRS)):
+def filled(counted: dict[int, tuple[np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
+    """The filter of counted n-grams by kind, as bytes."""
+    entries = sum(int(level_of(n).sum()) for _, n in counted.values())
+    size = np.uint64(max(64, -(-entries * bits // 64) * 64))
+    out = np.zeros(int(size), bool)
+    for kind, (keys, counts) in counted.items():
         levels, j = level_of(counts), 1
         while len(keys):
             g = entry(keys, kind, j)
             for i in range(PROBES):
-                bits[places(g, size, i)] = True
+                out[places(g, size, i)] = True
             j += 1
             kept = levels >= j
             keys, levels = keys[kept], levels[kept]
-    packed = np.packbits(bits, bitorder="little").tobytes()
-    return pd.DataFrame({"seg": [int(rows["seg"].iloc[0])], "filter": [packed], "words": [words.tobytes()], "counts": [n.tobytes()], "n_tokens": [int(n.sum())], "n_words": [len(words)], "n_pairs": [len(pairs)]})
-
-
-MODEL = "seg int, filter binary, words binary, counts binary, n_tokens long, n_words long, n_pairs long"
-
-
-def train(docs: DataFrame) -> tuple[str, int]:
-    """Counts all of ``docs`` (text); the path of the written segments, and how many there are."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    segments = int(min(1 << 16, max(4, -(-size // SEGMENT))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        def flushed(held: list) -> dict[str, list]:
-            rows = [*sent(np.concatenate([w for w, _ in held]), WORDS, segments), *sent(np.concatenate([p for _, p in held]), PAIRS, segments)]
-            return dict(zip(("seg", "kind", "keys", "counts"), zip(*rows)))
-
-        held, n = [], 0
-        for b in batches:
-            for part in slices(b):
-                word, pair, _ = stream(part)
-                held.append((word, pair))
-                n += len(word)
-                if n >= FLUSH:
-                    yield flushed(held)
-                    held, n = [], 0
-        if n:
-            yield flushed(held)
-
-    path = work_path(docs.sparkSession, "lm")
-    arrow_map(docs.select("text"), run, "seg int, kind int, keys binary, counts binary").groupBy("seg").applyInPandas(build, MODEL).write.parquet(path)
-    return path, segments
-
-
-class Filter:
-    """Quantised counts by membership probes, in the filter as a whole or in segments read from the table."""
-
-    def __init__(self, path: str, segments: int, size: int, held: list[bytes] | None) -> None:
-        self.path, self.segments, self.whole = path, segments, None
-        if held is None and size > WHOLE:
-            return
-        # one array for all segments, as they come; those that are missing share eight zero bytes at the end
-        self.whole = np.zeros(size + 8, np.uint8)
-        self.size, self.start = np.full(segments, 64, np.uint64), np.full(segments, 8 * size, np.uint64)
-        at = 0
-        for seg, data in enumerate(held) if held is not None else self.stored():
-            if len(data):
-                self.whole[at : at + len(data)] = np.frombuffer(data, np.uint8)
-                self.size[seg], self.start[seg] = 8 * len(data), 8 * at
-                at += len(data)
-
-    def stored(self) -> Iterator[tuple[int, pa.Buffer]]:
-        import pyarrow.dataset as ds
-
-        fs, inner = local_file(self.path)
-        for b in ds.dataset(inner, filesystem=fs, format="parquet").to_batches(columns=["seg", "filter"], batch_size=4, batch_readahead=1, fragment_readahead=1):
-            for seg, data in zip(b["seg"].to_pylist(), b["filter"]):
-                yield seg, data.as_buffer()
-
-    @lru_cache(maxsize=64)
-    def part(self, seg: int) -> np.ndarray:
-        import pyarrow.dataset as ds
-
-        fs, inner = local_file(self.path)
-        found = ds.dataset(inner, filesystem=fs, format="parquet").to_table(columns=["filter"], filter=ds.field("seg") == seg)
-        return np.frombuffer(found["filter"][0].as_py() if len(found) else bytes(8), np.uint8)
-
-    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
-        """Levels of sorted hashes."""
-        seg = segment(h, self.segments).astype(np.int64)
-        if self.whole is not None:
-            return self.probed(self.whole, h, kind, self.size[seg], self.start[seg])
-        out = np.zeros(len(h), np.int64)
-        at = np.searchsorted(seg, np.arange(self.segments + 1))
-        for s in np.unique(seg):
-            a, b, data = at[s], at[s + 1], self.part(int(s))
-            out[a:b] = self.probed(data, h[a:b], kind, np.full(b - a, 8 * len(data), np.uint64), np.zeros(b - a, np.uint64))
-        return out
-
-    @staticmethod
-    def probed(data: np.ndarray, h: np.ndarray, kind: int, size: np.ndarray, start: np.ndarray) -> np.ndarray:
-        out, live, j = np.zeros(len(h), np.int64), np.arange(len(h)), 1
-        while len(live):
-            g, n, base = entry(h[live], kind, j), size[live], start[live]
-            for i in range(PROBES):
-                at = base + places(g, n, i)
-                hit = (data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                live, g, n, base = live[hit], g[hit], n[hit], base[hit]
-            out[live] = j
-            j += 1
-        return out
+    return np.packbits(out, bitorder="little")
+
+
+def probed(data: np.ndarray, keys: np.ndarray, kind: int) -> np.ndarray:
+    """Levels of ``keys``: the filter is asked for one level after another until one is missing."""
+    size, out, live, j = np.uint64(8 * len(data)), np.zeros(len(keys), np.uint8), np.arange(len(keys)), 1
+    while len(live):
+        g = entry(keys[live], kind, j)
+        for i in range(PROBES):
+            at = places(g, size, i)
+            hit = (data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            live, g = live[hit], g[hit]
+        out[live] = j
+        j += 1
+    return out
 
 
-_filters: dict[str, Filter] = {}
+def served(table: DataFrame, segments: int, bits: int) -> DataFrame:
+    """The written table of segments: a row of kind FILTER for each, with its filter as ``levels``, its numbers of training
+    tokens and of distinct words; and a row for each run that it was sent (lot, seg, kind) with the levels that probing
+    gives and, of words, the exact counts."""
 
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        counted = {kind: merged(rows, kind) for kind in (WORDS, PAIRS)}
+        data, (words, n) = filled(counted, bits), counted[WORDS]
+        seg = int(rows["seg"].iloc[0])
+        out = [(-1, seg, FILTER, data.tobytes(), b"", int(n.sum()), len(words))]
+        for lot, kind, raw in zip(rows["lot"], rows["kind"], rows["keys"]):
+            keys, exact = unpacked(raw, kind), b""
+            if kind == WORDS:
+                at = np.minimum(np.searchsorted(words, keys), max(len(words) - 1, 0))
+                exact = (np.where(words[at] == keys, n[at], 0) if len(words) else np.zeros(len(keys), np.int64)).tobytes()
+            out.append((lot, seg, kind, probed(data, keys, kind).tobytes(), exact, 0, 0))
+        return pd.DataFrame(out, columns=["lot", "seg", "kind", "levels", "counts", "n_tokens", "n_words"])
 
-def current(model: Model) -> Filter:
-    """The filter of a model; a worker process keeps one, that of the last model it scored with."""
-    if model.path not in _filters:
-        _filters.clear()
-        pa.default_memory_pool().release_unused()
-        _filters[model.path] = Filter(model.path, model.segments, model.size, model.held)
-    return _filters[model.path]
+    grouped = runs(table, segments).groupBy("seg").applyInPandas(build, "lot long, seg long, kind int, levels binary, counts binary, n_tokens long, n_words long")
+    return written(grouped, "lm-segments")
 
 
 class Model:
-    """What workers need to score: the filter, N, V, the weights by context level, and the frequent words."""
+    """What workers need to score beside the levels: N, V, the number of training texts and the weights by context level."""
 
-    def __init__(self, path: str, segments: int, size: int, held: list[bytes] | None, tokens: int, words: int, n_texts: int) -> None:
-        self.path, self.segments, self.size, self.held, self.tokens, self.words, self.n_texts = path, segments, size, held, tokens, words, n_texts
+    def __init__(self, tokens: int, words: int, n_texts: int) -> None:
+        self.tokens, self.words, self.n_texts = tokens, words, n_texts
         self.weights = np.zeros(65)
-        self.top = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def log_base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
 
-    def read(self, word: np.ndarray, pair: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Level of each token's context, counts of context and pair, smoothed probability of the token alone; and the
-        distinct hashes with the place of each token among them."""
-        probed = current(self)
-        kinds, which = np.unique(word, return_inverse=True)
-        level = probed.levels(kinds, WORDS)[which]
-        twos, whose = np.unique(pair, return_inverse=True)
-        both = middle(probed.levels(twos, PAIRS))[whose]
+    def read(self, b: pa.RecordBatch, k: int) -> tuple[Lot, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A lot; of each token the level and count of its context, the count of the pair, the smoothed probability of
+        the token alone; and the exact counts of the lot's words."""
+        lot, told = Lot(b, k), sorted(b.column("told")[k].as_py(), key=lambda x: (x["kind"], x["seg"]))
+        levels = [np.frombuffer(b"".join(x["levels"] for x in told if x["kind"] == kind), np.uint8).astype(np.int64) for kind in (WORDS, PAIRS)]
+        exact = np.frombuffer(b"".join(x["counts"] for x in told), np.int64)
+        level, both = levels[WORDS][lot.which], middle(levels[PAIRS])[lot.whose]
         context = np.roll(level, 1)
-        context[bounds[:-1]] = level_of(np.array([self.n_texts]))[0]
+        context[lot.bounds[:-1]] = level_of(np.array([self.n_texts]))[0]
         alone = (middle(level) + 0.5) / (self.tokens + 0.5 * (self.words + 1))
-        return context, middle(context), both, alone, kinds, which
+        return lot, context, middle(context), both, alone, exact
 
 
-def histogram(df: DataFrame, shared) -> np.ndarray:
-    """Tokens by level of the context and by log of the pair's ratio to the token's own probability, without themselves."""
+def histogram(table: DataFrame, model: Model) -> np.ndarray:
+    """Training tokens by level of the context and by log of the pair's ratio to the token's own probability, without themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        model, total = shared.value, np.zeros((65, BINS), np.int64)
+        total = np.zeros((65, BINS), np.int64)
         for b in batches:
-            for part in slices(b):
-                level, context, both, alone, _, _ = model.read(*stream(part))
+            for k in range(b.num_rows):
+                lot, level, context, both, alone, _ = model.read(b, k)
                 ratio = np.minimum(1, np.maximum(both - 1, 0) / np.maximum(context - 1, 1)) / alone
                 bins = np.where(ratio > 0, 1 + np.clip((np.log(np.maximum(ratio, 1e-30)) + 10) * 8, 0, BINS - 2).astype(int), 0)
-                total += np.bincount(level * BINS + bins, minlength=65 * BINS).reshape(65, BINS)
+                total += np.bincount((level * BINS + bins)[lot.training], minlength=65 * BINS).reshape(65, BINS)
         level, bins = np.nonzero(total)
         yield {"level": level, "bin": bins, "n": total[level, bins]}
 
     out = np.zeros((65, BINS))
-    for level, k, n in arrow_map(df.select("text"), run, "level int, bin int, n long").groupBy("level", "bin").sum("n").collect():  # at most 65 * BINS rows
+    for level, k, n in arrow_map(table, run, "level int, bin int, n long").groupBy("level", "bin").sum("n").collect():  # at most 65 * BINS rows
         out[level, k] = n
     return out
 
@@ -284,81 +286,34 @@ def fitted(counts: np.ndarray) -> np.ndarray:
     return weight.ravel()
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = FILTER, top: int = TOP) -> DataFrame:
-    """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, lot: int = LOT, segment_bytes: int = SEGMENT) -> DataFrame:
+    """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``bits`` of filter an entry,
+    about ``lot`` tokens a lot, ``segment_bytes`` of text a segment."""
     docs = picked(docs, id_col, text_col).withColumn("held_out", bucket(F.col("doc_id"), folds) == held)
-    training = docs.filter(~F.col("held_out"))
-    path, segments = train(training)
-    table = spark.read.parquet(path)
-    tokens, words, size = table.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum(F.octet_length("filter"))).first()
-    tokens, words, size = tokens or 0, words or 0, size or 0
-    held_bytes: list[bytes] | None = None
-    if size <= broadcast_bytes:
-        found = {r.seg: bytes(r.filter) for r in table.select("seg", "filter").collect()}
-        held_bytes = [found.get(s, b"") for s in range(segments)]
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        for b in batches:
-            for h, c in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
-                yield {"h": np.frombuffer(h, np.int64), "c": np.frombuffer(c, np.int64)}
-
-    vocabulary = arrow_map(table.select("words", "counts"), counted, "h long, c long")
-    steps = sorted(vocabulary.groupBy(F.least("c", F.lit(1 << 12)).alias("c")).count().collect(), reverse=True)  # at most 4096 rows
-    least, n = None, 0
-    for c, more in steps:
-        n += more
-        if n > top:
-            break
-        least = c
-    frequent = vocabulary.filter(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()  # at most ``top`` rows
-
-    n_texts = vocabulary.filter(F.col("h") == int(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    model = Model(path, segments, size, held_bytes, tokens, words, int(n_texts))
-    top_h, top_c = (frequent[c].to_numpy() for c in ("h", "c"))
-    order = np.argsort(top_h.view(np.uint64))
-    model.top = (top_h.view(np.uint64)[order], top_c[order])
-    shared = spark.sparkContext.broadcast(model)
-    model.weights = fitted(histogram(training, shared))
-    shared.unpersist()
-    shared = spark.sparkContext.broadcast(model)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    table = lots(docs, lot)
+    n_texts = table.agg(F.sum("n_train")).first()[0] or 0
+    segments = served(table, max(4, -(-size // segment_bytes)), bits)
+    tokens, words = segments.filter(F.col("kind") == FILTER).agg(F.sum("n_tokens"), F.sum("n_words")).first()
+    model = Model(tokens or 0, words or 0, n_texts)
+    told = segments.filter(F.col("kind") != FILTER).groupBy("lot").agg(F.collect_list(F.struct("kind", "seg", "levels", "counts")).alias("told"))
+    table = written(table.join(told, "lot").drop("lot"), "lm-told", instead_of=table)
+    model.weights = fitted(histogram(table, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        model = shared.value
-        top_h, top_c = model.top
         for b in batches:
-            for part in slices(b):
-                word, pair, bounds = stream(part)
-                level, context, both, alone, kinds, which = model.read(word, pair, bounds)
+            for k in range(b.num_rows):
+                lot, level, context, both, alone, exact = model.read(b, k)
                 weight = model.weights[level]
                 score = np.log10(weight * np.minimum(1, both / np.maximum(context, 1)) + (1 - weight) * alone)
-                at = np.searchsorted(top_h, kinds)
-                at[at == len(top_h)] = 0
-                frequent = top_h[at] == kinds if len(top_h) else np.zeros(len(kinds), bool)
-                base = np.where(frequent, model.log_base(top_c[at]) if len(top_h) else 0.0, 0.0)[which]
-                seen = frequent[which]
-                n = len(bounds) - 1
-                doc = np.repeat(np.arange(n), np.diff(bounds))[~seen]
-                rare, tf = np.unique(doc * len(kinds) + which[~seen], return_counts=True)
-                cut = np.searchsorted(rare, np.arange(n + 1) * len(kinds))
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x))
                 yield {
-                    "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": np.diff(bounds), "n_top": sums(seen.astype(np.int64), bounds),
-                    "base": sums(base, bounds), "score": sums(score, bounds), "rare": lists(kinds[rare % len(kinds)].view(np.int64)), "tf": lists(tf.astype(np.int64)),
+                    "doc_id": b.column("ids")[k].values, "held_out": b.column("held")[k].values, "n_tokens": np.diff(lot.bounds), "n_known": sums((exact > 0).astype(np.int64)[lot.which], lot.bounds),
+                    "base_score": sums(model.log_base(exact)[lot.which], lot.bounds), "score": sums(score, lot.bounds),
                 }
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = arrow_map(docs, run, f"doc_id {kind}, held_out boolean, n_tokens long, n_top long, base double, score double, rare array<bigint>, tf array<bigint>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    others = scored.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.tf").alias("tf")).join(vocabulary, "h", "left")
-    c = F.coalesce("c", F.lit(0))
-    log_base = F.log10((c + 0.5) / F.lit(tokens + 0.5 * (words + 1)))
-    others = others.groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_rare"), F.sum(F.col("tf") * log_base).alias("rare_base"))
-    out = scored.drop("rare", "tf").join(others, "row", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
-    )
+    kinds = [StructField("doc_id", docs.schema["doc_id"].dataType), *docs.sparkSession.createDataFrame([], "held_out boolean, n_tokens long, n_known long, base_score double, score double").schema]
+    out = arrow_map(table, run, StructType(kinds))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

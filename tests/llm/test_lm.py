@@ -29,27 +29,44 @@ def expected(ids, texts):
     return sorted(((i, h, len(w), sum(x in c for x in w), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6)) for i, h, w in zip(ids, held, lines)), key=repr)
 
 
-def test_base_is_exact_and_ways_agree(spark):
-    ids, texts = hard()
-    df = docs(spark, texts, ids)
-    rows = by_id(lm.lm_scores(df))
-    assert sorted(((*r[:5], round(r[5], 6)) for r in rows), key=repr) == expected(ids, texts)
-    assert all(math.isfinite(r[6]) and r[6] <= 0 for r in rows)
-    for other in (lm.lm_scores(df, broadcast_bytes=0), lm.lm_scores(df, top=3)):
-        assert np.allclose([r[5:] for r in by_id(other)], [r[5:] for r in rows])
+def brute_scores(ids, texts):
+    """The model's scores from plain counters: levels of exact counts in place of a filter."""
+    lines = [[*(t or "").encode().lower().split(), None] for t in texts]
+    train = [x for i, x in zip(ids, lines) if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    one, two = collections.Counter(w for x in train for w in x), collections.Counter(p for x in train for p in zip(["^", *x], x))
+    n, v = sum(one.values()), len(one)
+    mid = lambda c: 1.5 * 2 ** (c.bit_length() - 1) - 0.5 if c else 0.0
+    alone = lambda w: (mid(one[w]) + 0.5) / (n + 0.5 * (v + 1))
+    level = lambda h: (len(train) if h == "^" else one[h]).bit_length()
+    whole = lambda h: mid(len(train) if h == "^" else one[h])
+    table = np.zeros((65, lm.BINS))
+    for x in train:
+        for h, w in zip(["^", *x], x):
+            r = min(1, max(mid(two[h, w]) - 1, 0) / max(whole(h) - 1, 1)) / alone(w)
+            table[level(h), 1 + int(np.clip((math.log(r) + 10) * 8, 0, lm.BINS - 2)) if r > 0 else 0] += 1
+    weight = lm.fitted(table)
+    return [sum(math.log10(weight[level(h)] * min(1, mid(two[h, w]) / max(whole(h), 1)) + (1 - weight[level(h)]) * alone(w)) for h, w in zip(["^", *x], x)) for x in lines]
 
 
-def test_segments_on_demand_score_the_same(spark, monkeypatch):
+def test_base_and_score_equal_brute_force_in_lots_and_segments_of_any_size(spark):
     ids, texts = hard()
-    path, segments = lm.train(docs(spark, texts, ids).selectExpr("coalesce(text, '') AS text"))
-    h = np.unique(lm.stream(pa.record_batch({"text": pa.array([t or "" for t in texts])}))[0])
-    size = spark.read.parquet(path).selectExpr("sum(octet_length(filter))").first()[0]
-    whole = lm.Filter(path, segments, size, None).levels(h, lm.WORDS)
-    monkeypatch.setattr(lm, "WHOLE", -1)
-    assert lm.Filter(path, segments, size, None).levels(h, lm.WORDS).tolist() == whole.tolist()
-    counts = collections.Counter(w for t in texts for w in [*(t or "").encode().lower().split(), None])
-    off = np.sort(whole) - np.sort(lm.level_of(np.array([*counts.values()])))
-    assert off.min() == 0 and off.sum() <= 0.02 * len(off)  # a filter may tell too much, never too little
+    df, want = docs(spark, texts, ids), sorted(zip(ids, [t or "" for t in texts], brute_scores(ids, texts)), key=lambda x: repr((x[0], x[2])))
+    for more in ({}, {"lot": 40, "segment_bytes": 500}):
+        rows = by_id(lm.lm_scores(df, bits=64, **more))
+        assert sorted(((*r[:5], round(r[5], 6)) for r in rows), key=repr) == expected(ids, texts)
+        assert np.allclose(sorted(r[6] for r in rows), sorted(x[2] for x in want))
+        got = {r[0]: r[6] for r in rows if r[0] not in (0, None)}
+        assert np.allclose([got[i] for i, _, _ in want if i in got], [x for i, _, x in want if i in got])
+
+
+def test_a_filter_tells_too_much_but_never_too_little():
+    chance = np.random.default_rng(3)
+    keys = np.unique(chance.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    counts = chance.integers(1, 5000, len(keys))
+    data = lm.filled({lm.WORDS: (keys, counts)}, lm.BITS)
+    off = lm.probed(data, keys, lm.WORDS).astype(int) - lm.level_of(counts)
+    assert off.min() == 0 and (off > 0).mean() < 0.02
+    assert (lm.probed(data, keys + np.uint64(1), lm.WORDS) > 0).mean() < 0.02 and not lm.probed(lm.filled({}, lm.BITS), keys, lm.PAIRS).any()
 
 
 def test_empty_table_and_no_training(spark):
