@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
+from zstandard import compress, decompress
 
 from .common import arrow_map, bucket, picked, written
 from .words import BLANKS, ONE, TWO, mix, slices, sums, tokenize
@@ -39,7 +40,7 @@ from .words import BLANKS, ONE, TWO, mix, slices, sums, tokenize
 #: Bits of filter for an entry, and probes for one.
 BITS, PROBES = 12, 6
 #: Bytes of text for a segment, and tokens of a lot.
-SEGMENT, LOT = 8 << 20, 1 << 20
+SEGMENT, LOT = 8 << 20, 1 << 19
 KEY = np.uint64((1 << 48) - 1)
 WORDS, PAIRS, FILTER = 0, 1, 2
 END = np.uint64(0xE2D)
@@ -67,13 +68,13 @@ def paired(word: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(before * ONE ^ (word + TWO))
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers below 2^32, byte by byte of all of them, which packs well."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def packed(x: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of ``width`` bytes, compressed plane by plane of their bytes; so they stay outside the worker that uses them."""
+    return compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), 3)
 
 
-def unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unpacked(data: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(decompress(data), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def lots(docs: DataFrame, lot: int) -> DataFrame:
@@ -84,8 +85,8 @@ def lots(docs: DataFrame, lot: int) -> DataFrame:
             words, which = np.unique(np.concatenate([w for w, _, _ in held]), return_inverse=True)
             flags = [x for _, _, b in held for x in b.column("held_out").to_pylist()]
             return {
-                "ids": [[x for _, _, b in held for x in b.column("doc_id").to_pylist()]], "held": [flags], "sizes": [planes(np.concatenate([n for _, n, _ in held]))],
-                "words": [words.tobytes()], "tokens": [planes(which)], "n_train": [len(flags) - sum(flags)],
+                "ids": [[x for _, _, b in held for x in b.column("doc_id").to_pylist()]], "held": [flags], "sizes": [packed(np.concatenate([n for _, n, _ in held]))],
+                "words": [words.tobytes()], "tokens": [packed(which)], "n_train": [len(flags) - sum(flags)],
             }
 
         held, n = [], 0
@@ -109,8 +110,8 @@ class Lot:
 
     def __init__(self, b: pa.RecordBatch, k: int) -> None:
         self.words = np.frombuffer(b.column("words")[k].as_buffer(), np.uint64)
-        self.which = unplaned(b.column("tokens")[k].as_buffer())
-        size = unplaned(b.column("sizes")[k].as_buffer()).astype(np.int64)
+        self.which = unpacked(b.column("tokens")[k].as_buffer())
+        size = unpacked(b.column("sizes")[k].as_buffer()).astype(np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(size)])
         self.training = ~np.repeat(np.array(b.column("held")[k].as_py(), bool), size)
         self.pairs, self.whose = np.unique(paired(self.words[self.which], self.bounds), return_inverse=True)
@@ -138,13 +139,13 @@ def runs(table: DataFrame, segments: int) -> DataFrame:
                     for at, to in zip(first, [*first[1:], len(keys)]):
                         own = keys[at:to]
                         raw = own.tobytes() if kind == WORDS else np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                        rows.append((b.column("lot")[k].as_py(), int(seg[at]), kind, raw, counts[at:to].astype(np.uint32).tobytes()))
+                        rows.append((b.column("lot")[k].as_py(), int(seg[at]), kind, raw, packed(counts[at:to])))
                 yield dict(zip(("lot", "seg", "kind", "keys", "counts"), zip(*rows)))
 
     return arrow_map(table, run, "lot long, seg long, kind int, keys binary, counts binary")
 
 
-def unpacked(raw: bytes, kind: int) -> np.ndarray:
+def hashes(raw: bytes, kind: int) -> np.ndarray:
     if kind == WORDS:
         return np.frombuffer(raw, np.uint64)
     whole = np.zeros((len(raw) // 6, 8), np.uint8)
@@ -155,7 +156,7 @@ def unpacked(raw: bytes, kind: int) -> np.ndarray:
 def merged(rows: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their counts in all lots, of those that training texts have."""
     rows = rows[rows["kind"] == kind]
-    keys, counts = unpacked(b"".join(rows["keys"]), kind), np.frombuffer(b"".join(rows["counts"]), np.uint32)
+    keys, counts = hashes(b"".join(rows["keys"]), kind), np.concatenate([np.zeros(0, np.uint32), *map(unpacked, rows["counts"])])
     keys, counts = keys[counts > 0], counts[counts > 0]
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order].astype(np.int64)
@@ -222,11 +223,11 @@ def served(table: DataFrame, segments: int, bits: int) -> DataFrame:
         seg = int(rows["seg"].iloc[0])
         out = [(-1, seg, FILTER, data.tobytes(), b"", int(n.sum()), len(words))]
         for lot, kind, raw in zip(rows["lot"], rows["kind"], rows["keys"]):
-            keys, exact = unpacked(raw, kind), b""
+            keys, exact = hashes(raw, kind), b""
             if kind == WORDS:
                 at = np.minimum(np.searchsorted(words, keys), max(len(words) - 1, 0))
-                exact = (np.where(words[at] == keys, n[at], 0) if len(words) else np.zeros(len(keys), np.int64)).tobytes()
-            out.append((lot, seg, kind, probed(data, keys, kind).tobytes(), exact, 0, 0))
+                exact = packed(np.where(words[at] == keys, n[at], 0) if len(words) else np.zeros(len(keys), np.int64), 8)
+            out.append((lot, seg, kind, compress(probed(data, keys, kind).tobytes(), 3), exact, 0, 0))
         return pd.DataFrame(out, columns=["lot", "seg", "kind", "levels", "counts", "n_tokens", "n_words"])
 
     grouped = runs(table, segments).groupBy("seg").applyInPandas(build, "lot long, seg long, kind int, levels binary, counts binary, n_tokens long, n_words long")
@@ -247,8 +248,8 @@ class Model:
         """A lot; of each token the level and count of its context, the count of the pair, the smoothed probability of
         the token alone; and the exact counts of the lot's words."""
         lot, told = Lot(b, k), sorted(b.column("told")[k].as_py(), key=lambda x: (x["kind"], x["seg"]))
-        levels = [np.frombuffer(b"".join(x["levels"] for x in told if x["kind"] == kind), np.uint8).astype(np.int64) for kind in (WORDS, PAIRS)]
-        exact = np.frombuffer(b"".join(x["counts"] for x in told), np.int64)
+        levels = [np.frombuffer(b"".join(decompress(x["levels"]) for x in told if x["kind"] == kind), np.uint8).astype(np.int64) for kind in (WORDS, PAIRS)]
+        exact = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x["counts"], 8) for x in told if x["kind"] == WORDS)]).astype(np.int64)
         level, both = levels[WORDS][lot.which], middle(levels[PAIRS])[lot.whose]
         context = np.roll(level, 1)
         context[lot.bounds[:-1]] = level_of(np.array([self.n_texts]))[0]
