@@ -1,6 +1,7 @@
 import random
 import re
 
+from quire.llm import common, native
 from quire.llm.decontaminate import contamination
 
 from .helpers import docs, hard
@@ -63,3 +64,9 @@ def test_hard_rows(spark):
     assert run(spark, ids, texts, items) == brute(ids, texts, items)
     assert run(spark, ids, texts, []) == brute(ids, texts, [])
     assert run(spark, [], [], items) == []
+
+
+def test_without_a_broadcast_and_with_a_full_bitmap_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(native, "BITS", 64)
+    test_planted_passages(spark)

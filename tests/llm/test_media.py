@@ -3,7 +3,7 @@ import io
 import tarfile
 import zlib
 
-from quire.llm import media
+from quire.llm import common, media
 from quire.llm.common import local_file, work_path
 
 from .helpers import docs, hard
@@ -60,3 +60,9 @@ def test_metadata_needs_the_header_alone(spark):
     with fs.open_output_stream(inner) as out:
         out.write(bytes(data))
     assert media.filled(manifest, whole=False).first()[4:] == (128, 1, 8)
+
+
+def test_without_a_broadcast_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    test_hard_rows(spark)
+    test_each_payload_is_stored_once_in_a_readable_tar(spark)

@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quire.llm import common
 from quire.llm.secrets import RULES, Rule, find_secrets, redacted
 
 from .helpers import docs, hard
@@ -59,3 +60,8 @@ def test_redaction(spark):
         redacted(F.col("text"), F.from_json(F.lit('[{"start":3,"end":17},{"start":9,"end":12},{"start":15,"end":18}]'), "array<struct<start:int,end:int>>")).alias("t"), redacted(F.col("text"), F.array().cast("array<struct<start:int,end:int>>")).alias("u")
     )
     assert tuple(row.first()) == ("ab [SECRET]cd", "ab token=abcdefgh cd")
+
+
+def test_without_a_broadcast_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    test_only_unseen_pairs_of_blob_and_rule_are_scanned(spark)

@@ -1,6 +1,6 @@
 import hashlib
 
-from quire.llm import warc
+from quire.llm import common, warc
 from quire.llm.common import work_path
 
 
@@ -15,7 +15,7 @@ def archive(n=6, size=3000):
 def salvaged(tmp_path, data):
     path = tmp_path / "a.warc.gz"
     path.write_bytes(data)
-    return [(a, b, told and told["warc-record-id"], why) for a, b, told, _, why in warc.salvage(str(path))]
+    return [(a, a + n if inner is None else None, record and record.headers["warc-record-id"], why) for a, inner, n, record, why in warc.salvage(str(path))]
 
 
 def test_damage_loses_only_the_record_it_hits(tmp_path):
@@ -73,3 +73,31 @@ def test_small_shards_hold_the_same(spark):
     files = warc.write_archives(df, work_path(spark, "w"), shard=2000)
     assert files.count() > 4 and files.agg({"n_records": "sum"}).first()[0] == 40
     assert {r.page for r in warc.read_archives(files).collect()} == {str(k) for k in range(40)}
+
+
+def test_members_of_several_records(tmp_path):
+    parts = [warc.record(k, None, bytes([65 + k]) * 100, "d") for k in range(4)]
+    ids = lambda data: [x[2] for x in salvaged(tmp_path, data)]
+    whole = [f"<urn:page:{k}>" for k in range(4)]
+    assert ids(warc.member(b"".join(parts))) == whole
+    bad = parts[1].replace(b"BBB", b"BXB", 1)
+    assert ids(warc.member(parts[0] + bad + b"junk WARC/1.1 " + parts[2]) + warc.member(parts[3])) == [whole[0], None, *whole[2:]]
+    cut = warc.member(b"".join(parts) + bytes(range(256)) * 4000)[:-2000]  # what was proven before the cut stays
+    assert [x for x in ids(cut) if x] == whole and None in ids(cut)
+    bare = [x.replace(b"WARC-Block-Digest", b"Other") for x in parts]
+    assert ids(warc.member(b"".join(bare))) == whole and ids(warc.member(b"".join(bare))[:-5]) == [None]
+
+
+def test_records_and_headers_of_any_size(tmp_path):
+    payload = bytes(range(256)) * 50_000
+    big = warc.record(1, None, payload, hashlib.sha1(payload).hexdigest())
+    long = big.replace(b"\r\nContent-Type", b"\r\nX-Long: " + b"y" * 300_000 + b"\r\nContent-Type", 1)
+    for data in (big, warc.member(big), long, warc.member(long)):
+        (tmp_path / "a").write_bytes(data)
+        [(_, _, _, record, why)] = warc.salvage(str(tmp_path / "a"))
+        assert (record.payload_bytes, record.payload_digest, why) == (len(payload), hashlib.sha1(payload).hexdigest(), "")
+
+
+def test_without_a_broadcast_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    test_hard_rows(spark)
