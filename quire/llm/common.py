@@ -19,8 +19,8 @@ from pyspark.sql.types import StructField, StructType
 #: Largest table, in estimated bytes, that an operator broadcasts; beyond it the same join shuffles.
 BROADCAST_BYTES = 64 << 20
 
-#: Tasks over which a shuffled join spreads one key.
-SALTS = 16
+#: Tasks over which a shuffled join spreads a hot key, rows from which on a key may be one, and how many such keys there are.
+SALTS, HOT, HEAVY = 16, 1 << 14, 1024
 
 #: Spark's switch for removing a query's shuffle files at its end.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -72,13 +72,18 @@ def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits(df, row_bytes) else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
-    """``left`` joined with the few columns of ``right``: a broadcast within the bound. Beyond it both are shuffled, and a
-    key that many rows of ``left`` have is spread over ``SALTS`` tasks by the partition that those rows come from."""
-    if fits(right, row_bytes):
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has a row for a key or few: a broadcast within the bound, if ``row_bytes`` are
+    given. Else both are shuffled, and each of the keys that most rows of ``left`` have (more than ``HOT``, ``HEAVY`` keys at
+    most) is spread over ``SALTS`` tasks by the partition that its rows come from."""
+    if row_bytes is not None and fits(right, row_bytes):
         return left.join(F.broadcast(right), on, how)
-    left = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    return left.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"], how).drop("_salt")
+    hot = left.groupBy(*on).count().filter(F.col("count") > HOT).orderBy(F.desc("count")).limit(HEAVY).select(*on, F.lit(True).alias("_hot"))
+    hot = F.broadcast(written(hot, "hot-keys"))
+    one = lambda some, rest: F.when(F.coalesce("_hot", F.lit(False)), some).otherwise(rest)
+    left = left.join(hot, on, "left").withColumn("_salt", one(F.pmod(F.spark_partition_id(), F.lit(SALTS)), F.lit(0))).drop("_hot")
+    right = right.join(hot, on, "left").withColumn("_salt", F.explode(one(F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0))))).drop("_hot")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def ascii_lower(c: Column) -> Column:

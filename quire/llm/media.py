@@ -144,8 +144,7 @@ def media_columns(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
     """Per document row: doc_id, n_bytes, digest, shard, offset, length, metadata and what was computed from the stored bytes."""
     rows = picked(docs, id_col, text_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), padded(F.col("text").cast("binary")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     manifest = store(rows.select("digest", "payload"), folder)
-    told = written(filled(manifest), "media")
-    return spread_join(rows.select("doc_id", "n_bytes", "digest"), told, ["digest"], "left", 600)
+    return spread_join(rows.select("doc_id", "n_bytes", "digest"), filled(manifest), ["digest"], "left")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

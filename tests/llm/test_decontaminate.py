@@ -68,5 +68,6 @@ def test_hard_rows(spark):
 
 def test_without_a_broadcast_and_with_a_full_bitmap_nothing_changes(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "HOT", 2)
     monkeypatch.setattr(native, "BITS", 64)
     test_planted_passages(spark)

@@ -64,5 +64,6 @@ def test_metadata_needs_the_header_alone(spark):
 
 def test_without_a_broadcast_nothing_changes(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "HOT", 2)
     test_hard_rows(spark)
     test_each_payload_is_stored_once_in_a_readable_tar(spark)

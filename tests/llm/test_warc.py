@@ -100,4 +100,5 @@ def test_records_and_headers_of_any_size(tmp_path):
 
 def test_without_a_broadcast_nothing_changes(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "HOT", 2)
     test_hard_rows(spark)
