@@ -74,6 +74,30 @@ def test_segmentations_equal_enumeration(kind, fractional):
             assert rounded([{i: s for s, i in everything}[struct.unpack(f"<{count}i", ids)]]) == rounded(scores[:1])
 
 
+@pytest.mark.parametrize("kind", ["public", "fractional"])
+def test_all_of_the_n_best_come_with_identifiers(kind, fractional):
+    path, letters = (PATH, "theanios\nr日é ") if kind == "public" else (fractional, "abcdéx日 ")
+    for n in (1, 3, 5):
+        nbest, chance = Lattice(path, n), random.Random(n)
+        texts = ["".join(chance.choices(letters, k=chance.randint(0, 9))) for _ in range(80)]
+        for text, (_, ids, scores, _, others) in zip(texts, nbest.encode_all(texts)):
+            everything = {i: s for s, i in every_path(nbest, BLANK + text.replace(" ", BLANK))} if text else {(): 0.0}
+            ways = [struct.unpack(f"<{len(x) // 4}i", x) for x in (ids, *others)]
+            assert len({*ways}) == len(ways) == min(n, len(everything)) == len(scores)
+            assert rounded(everything[w] for w in ways) == rounded(scores) == rounded(sorted(everything.values(), reverse=True)[:n])
+
+
+def test_words_side_by_side_equal_words_alone(monkeypatch):
+    chance = random.Random(3)
+    texts = ["", "日本 x", "stone" * 30, *(" ".join("".join(chance.choices("theanios日é\U0001f600", k=chance.randint(1, 60))) for _ in range(20)) for _ in range(20))]
+    together = Lattice(PATH, 3).encode_all(texts)
+    monkeypatch.setattr(pieces, "LANES", 7)
+    assert Lattice(PATH, 3).encode_all(texts) == together
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    for a, b in zip(together, Lattice(PATH, 3).encode_all(texts)):
+        assert a[3] == b[3] and rounded(a[2]) == rounded(b[2]) and len(a[4]) == len(b[4])
+
+
 def test_unigram_models_equal_the_library(fractional):
     library, nbest, chance = sentencepiece.SentencePieceProcessor(model_file=fractional), Lattice(fractional, 4), random.Random(5)
     for _ in range(200):
@@ -119,3 +143,13 @@ def test_hard_rows_come_back_whole(spark):
         assert r.doc_id == 502 or library.encode(r.decoded) == numbers(r.library_ids)
     assert {r.n_pieces for r in rows if r.decoded == ""} == {0}
     assert digest(encode_texts(docs(spark, []), PATH)).collect() == []
+
+
+def test_next_segmentations_decode_to_the_text(spark):
+    ids, texts = hard()
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    encoded = encode_texts(docs(spark, texts, ids), PATH)
+    for r in encoded.collect():
+        assert len(r.next_ids) == len(r.scores) - 1
+        assert all(library.decode([*struct.unpack(f"<{len(x) // 4}i", x)]) == r.decoded for x in r.next_ids)
+    assert all((r.next_sha256 is None) == (r.next_score is None) for r in digest(encoded).collect())
