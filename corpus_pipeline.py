@@ -59,10 +59,12 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lie in passages of the benchmark."""
+    """Documents without a window of an item in common with the benchmark. Of items shorter than a window, which may be common
+    words, the passages only count where they make up a twentieth of the words."""
     rows = keyed(docs)
     marked = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
-    gone = chosen(marked.filter((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))), "contaminated")
+    whole = F.exists("spans", lambda s: s["last"] - s["first"] + 1 >= decontaminate.WINDOW)
+    gone = chosen(marked.filter(whole | (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))), "contaminated")
     return rows.join(gone, "k", "left_anti").select("row.*")
 
 

@@ -73,3 +73,10 @@ def test_hard_rows_and_clashing_columns_pass_every_stage(spark, folder):
     empty = docs(spark, [])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).collect() == []
+
+
+def test_a_passage_in_a_long_document_is_found(spark, folder):
+    rest = " ".join(f"own{k}" for k in range(2000))
+    passage = " ".join(f"bench{k}" for k in range(13))
+    df = docs(spark, [rest, f"{rest} {passage}", f"{passage} {rest}", f"{rest} " + passage.rpartition(" ")[0]])
+    assert [r.doc_id for r in corpus_pipeline.remove_contaminated(spark, df, folder).orderBy("doc_id").collect()] == [0, 3]
