@@ -43,6 +43,8 @@ BITS, PROBES = 12, 6
 SEGMENT, LOT = 8 << 20, 1 << 19
 KEY = np.uint64((1 << 48) - 1)
 WORDS, PAIRS, FILTER = 0, 1, 2
+#: Bytes of a key in a run.
+WIDTH = {WORDS: 8, PAIRS: 6}
 END = np.uint64(0xE2D)
 START = np.uint64(0x57A27)
 BINS = 256
@@ -153,15 +155,16 @@ def hashes(raw: bytes, kind: int) -> np.ndarray:
     return whole.view(np.uint64).ravel()
 
 
-def merged(rows: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and their counts in all lots, of those that training texts have."""
+def merged(rows: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of all lots, their counts in training texts (0 for some), and the place among them of each run's keys in turn."""
     rows = rows[rows["kind"] == kind]
     keys, counts = hashes(b"".join(rows["keys"]), kind), np.concatenate([np.zeros(0, np.uint32), *map(unpacked, rows["counts"])])
-    keys, counts = keys[counts > 0], counts[counts > 0]
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    keys = keys[order]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(first) - 1
+    return keys[first], np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(first)) if len(keys) else np.zeros(0, np.int64), at
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -212,25 +215,28 @@ def probed(data: np.ndarray, keys: np.ndarray, kind: int) -> np.ndarray:
     return out
 
 
+def answered(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """What ``served`` has of a segment. The filter is asked once for each distinct n-gram, however many lots have it, so that
+    a run costs little besides its own bytes."""
+    found = {kind: merged(rows, kind) for kind in (WORDS, PAIRS)}
+    counted = {kind: (keys[n > 0], n[n > 0]) for kind, (keys, n, _) in found.items()}
+    data, n = filled(counted, bits), counted[WORDS][1]
+    out = [(-1, int(rows["seg"].iloc[0]), FILTER, data.tobytes(), b"", int(n.sum()), len(n))]
+    for kind, (keys, n, at) in found.items():
+        levels, mine, to = probed(data, keys, kind)[at], rows[rows["kind"] == kind], 0
+        for lot, raw in zip(mine["lot"], mine["keys"]):
+            run = slice(to, to + len(raw) // WIDTH[kind])
+            out.append((lot, out[0][1], kind, compress(levels[run].tobytes(), 3), packed(n[at[run]], 8) if kind == WORDS else b"", 0, 0))
+            to = run.stop
+    return pd.DataFrame(out, columns=["lot", "seg", "kind", "levels", "counts", "n_tokens", "n_words"])
+
+
 def served(table: DataFrame, segments: int, bits: int) -> DataFrame:
     """The written table of segments: a row of kind FILTER for each, with its filter as ``levels``, its numbers of training
     tokens and of distinct words; and a row for each run that it was sent (lot, seg, kind) with the levels that probing
     gives and, of words, the exact counts."""
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        counted = {kind: merged(rows, kind) for kind in (WORDS, PAIRS)}
-        data, (words, n) = filled(counted, bits), counted[WORDS]
-        seg = int(rows["seg"].iloc[0])
-        out = [(-1, seg, FILTER, data.tobytes(), b"", int(n.sum()), len(words))]
-        for lot, kind, raw in zip(rows["lot"], rows["kind"], rows["keys"]):
-            keys, exact = hashes(raw, kind), b""
-            if kind == WORDS:
-                at = np.minimum(np.searchsorted(words, keys), max(len(words) - 1, 0))
-                exact = packed(np.where(words[at] == keys, n[at], 0) if len(words) else np.zeros(len(keys), np.int64), 8)
-            out.append((lot, seg, kind, compress(probed(data, keys, kind).tobytes(), 3), exact, 0, 0))
-        return pd.DataFrame(out, columns=["lot", "seg", "kind", "levels", "counts", "n_tokens", "n_words"])
-
-    grouped = runs(table, segments).groupBy("seg").applyInPandas(build, "lot long, seg long, kind int, levels binary, counts binary, n_tokens long, n_words long")
+    grouped = runs(table, segments).groupBy("seg").applyInPandas(lambda rows: answered(rows, bits), "lot long, seg long, kind int, levels binary, counts binary, n_tokens long, n_words long")
     return written(grouped, "lm-segments")
 
 

@@ -3,7 +3,9 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from zstandard import decompress
 
 from quire.llm import lm
 from quire.llm.words import BLANKS, tokenize
@@ -82,3 +84,25 @@ def test_copies_of_training_texts_score_higher(spark):
     scrambled = "grey the old of river are stones and 7 7 7"
     got = {r.doc_id: r for r in lm.lm_scores(docs(spark, [*texts, texts[7], scrambled], [*range(200), held, other])).collect()}
     assert got[held].score > got[held].base_score and got[held].score > got[other].score
+
+
+def test_a_segment_is_probed_once_however_many_lots_it_has(monkeypatch):
+    chance, asked, probed = np.random.default_rng(2), [], lm.probed
+    monkeypatch.setattr(lm, "probed", lambda data, keys, kind: (asked.append(len(keys)), probed(data, keys, kind))[1])
+    rows, total = [], collections.Counter()
+    for lot in range(40):
+        keys, counts = np.unique(chance.integers(0, 1 << 40, 300) % 700).astype(np.uint64), chance.integers(0, 3, 300)
+        counts = counts[: len(keys)]
+        total.update(dict(zip(keys.tolist(), counts.tolist())))
+        rows.append((lot, 0, lm.WORDS, keys.tobytes(), lm.packed(counts)))
+        rows.append((lot, 0, lm.PAIRS, np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), lm.packed(counts)))
+    out = lm.answered(pd.DataFrame(rows, columns=["lot", "seg", "kind", "keys", "counts"]), 64)
+    assert sum(asked) == 2 * len(total)
+    told = {(r.lot, r.kind): r for r in out.itertuples()}
+    assert told[-1, lm.FILTER].n_tokens == sum(total.values()) and told[-1, lm.FILTER].n_words == sum(n > 0 for n in total.values())
+    data = np.frombuffer(told[-1, lm.FILTER].levels, np.uint8)
+    for lot, _, kind, raw, _ in rows:
+        keys = lm.hashes(raw, kind)
+        assert np.frombuffer(decompress(told[lot, kind].levels), np.uint8).tolist() == probed(data, keys, kind).tolist()
+        assert kind == lm.PAIRS or lm.unpacked(told[lot, kind].counts, 8).tolist() == [total[k] for k in keys.tolist()]
+    assert len(out) == len(rows) + 1
