@@ -42,11 +42,11 @@ from .words import slices, sums
 
 BLANK = "▁"
 #: Bytes of remembered words in a worker process, and of an entry besides its strings.
-MEMORY, ENTRY = 288 << 20, 200
+MEMORY, ENTRY = 160 << 20, 200
 #: Words of so many characters at most are searched side by side.
 SHORT = 48
 #: As many words as are searched side by side.
-LANES = 8000
+LANES = 4000
 #: What a second path costs where there is none.
 NONE = float("inf")
 #: Remembered parts of words, of some 700 bytes each.
