@@ -6,10 +6,11 @@
    Frequent tokens are told by a bitmap of fixed size, filled from a sample of texts. Any order gives the same result:
    the sample bears on speed alone.
 3. Classes that share their least common prefix token and are about as large are partitioned into groups of some
-   ``GROUP`` members, fewer if their texts are long; larger ones are split by hash. Each group stores the union of its
-   members' tokens.
-4. A query meets those groups whose members' prefixes hold that many of its prefix tokens. Overlap with the union bounds the overlap
-   with every member, so the group is opened only if that reaches 0.8 of the query; then each member is compared whole.
+   ``GROUP`` members, up to ``MOST`` where many share it, fewer if their texts are long; larger ones are split by hash.
+   Each group stores the union of its members' tokens, one member as its base, and of each member what differs from that.
+4. A query meets those groups whose members' prefixes hold that many of its prefix tokens; of two groups, only one asks
+   the other. Overlap with the union bounds the overlap with every member, so the group is opened only if that reaches
+   0.8 of the query; then the exact overlap with each member is told from what differs from the base in both.
 5. Links between classes are closed to components by label propagation with pointer jumping, each round a written table.
 
 Copies are counted through their class and never paired. Documents without words have empty sets and link with
@@ -27,6 +28,8 @@ from .common import ascii_lower, bounded, picked, written
 from .native import bitmap, in_bitmap, let, upto
 
 WORDS, GROUP = 5, 16
+#: The most members of a group of classes that share their least token and size; between, 4 times the root of their number.
+MOST = 256
 #: Tokens in a group beyond which it is split, so that one of long texts has fewer members.
 TOKENS = 1 << 21
 #: Classes with a token beyond which its rows are spread over ``SALTS`` tasks.
@@ -80,19 +83,24 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     twice = posted.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t", (F.col("c") > HOT).alias("hot"))
     shared = written(posted.join(twice, "t"), "shared-tokens")
 
-    # the partition: least shared token and size, split by hash where that has more than GROUP classes
+    # the partition: least shared token and size, split by hash where that has more than a group's classes
     least = shared.groupBy("cid").agg(F.min("t").alias("g"), F.first("n").alias("n")).withColumn("s", F.floor(F.log(F.col("n")) / F.log(F.lit(1.1))).cast("int"))
-    parts = least.groupBy("g", "s").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / TOKENS)).alias("parts"))
+    members = F.least(F.greatest(F.lit(GROUP), 4 * F.sqrt(F.count("*"))), F.lit(MOST))
+    parts = least.groupBy("g", "s").agg(F.ceil(F.greatest(F.count("*") / members, F.sum("n") / TOKENS)).alias("parts"))
     placed = least.join(parts, ["g", "s"]).select("cid", "n", F.xxhash64("g", "s", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("gid"))
     placed = written(placed, "groups")
+    posts = written(shared.join(placed.select("cid", "gid"), "cid"), "posts", instead_of=shared)
 
     ranges = placed.groupBy("gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("cid").alias("last"))
-    group_posts = shared.select("t", "hot", "cid").join(placed.select("cid", "gid"), "cid").select("t", "hot", "gid").distinct().join(ranges, "gid")
+    group_posts = posts.select("t", "hot", "gid").distinct().join(ranges, "gid")
     salt = lambda hot: F.explode(F.when(F.col("hot"), hot).otherwise(F.array(F.lit(0)))).alias("salt")
-    asked = shared.select("t", F.col("cid").alias("q"), F.col("n").alias("nq"), salt(F.array(F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))))
+    asked = posts.select("t", F.col("cid").alias("q"), F.col("n").alias("nq"), F.col("gid").alias("own"), salt(F.array(F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))))
     met = asked.join(group_posts.select("t", "gid", "low", "high", "last", salt(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["t", "salt"])
-    met = met.filter("last > q AND 5 * high >= 4 * nq AND 4 * low <= 5 * nq").groupBy("q", "nq", "gid").agg(F.count("*").alias("common"), F.first("low").alias("low"))
-    met = written(met.filter(F.col("common") >= alike(F.least("nq", "low"))).select("q", "nq", "gid"), "met")
+    # of two groups, the classes of one ask the other; the lowest bits of their names choose which, so that both ask as often
+    first = (F.col("own") < F.col("gid")) == (F.col("own").bitwiseXOR(F.col("gid")).bitwiseAND(F.lit(1)) == 0)
+    met = met.filter(F.when(F.col("own") == F.col("gid"), F.col("last") > F.col("q")).otherwise(first))
+    met = met.filter("5 * high >= 4 * nq AND 4 * low <= 5 * nq").groupBy("q", "nq", "gid").agg(F.count("*").alias("common"), F.first("low").alias("low"), F.first(F.col("own") == F.col("gid")).alias("inside"))
+    met = written(met.filter(F.col("common") >= alike(F.least("nq", "low"))).select("q", "nq", "gid", "inside"), "met")
 
     groups = placed.join(met.select("gid").distinct(), "gid", "left_semi")
     wanted = groups.select("cid").union(met.select("q")).distinct()
@@ -101,20 +109,34 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     read = read.select("cid", "a", "b", shingles(F.col("text")).alias("tokens"))
     sets = written(read.filter((F.xxhash64("tokens") == F.col("a")) & (F.xxhash64(F.lit(1), "tokens") == F.col("b"))).select("cid", "tokens"), "sets")
 
-    stored = groups.join(sets, "cid").groupBy("gid").agg(
-        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.collect_list(F.struct("cid", "n", "tokens")).alias("members"),
-    )
+    # a group is stored as one member's tokens (of large ones, the one closest to the first three), and of each member those in which it differs
+    stored = groups.join(sets, "cid").groupBy("gid").agg(F.collect_list(F.struct("cid", "n", "tokens")).alias("whole"))
+    close = lambda m: sum(F.size(F.array_intersect(m["tokens"], F.col("whole")[k]["tokens"])) for k in range(3))
+    best = F.array_max(F.transform("whole", lambda m, k: F.struct(close(m), k.alias("k"))))["k"]
+    stored = stored.withColumn("base", F.get("whole", F.when(F.size("whole") > GROUP, best).otherwise(0))["tokens"])
+
+    def apart(m: Column) -> Column:
+        gone = F.array_except("base", m["tokens"])
+        return let(gone, lambda x: F.struct(m["cid"].alias("cid"), m["n"].alias("n"), F.size(x).alias("gone"), F.concat(x, F.array_except(m["tokens"], F.col("base"))).alias("differ")))
+
+    stored = stored.select("gid", "base", F.array_distinct(F.flatten("whole.tokens")).alias("union"), F.transform("whole", apart).alias("members"))
     stored = written(stored, "group-matrix")
 
     query = sets.select(F.col("cid").alias("q"), F.col("tokens").alias("query"))
-    bound = met.join(query, "q").join(stored.select("gid", "union"), "gid").filter(F.size(F.array_intersect("query", "union")) >= needed(F.col("nq")))
-    opened = written(bound.select("q", "nq", "gid"), "opened").join(query, "q").join(stored.select("gid", "members"), "gid")
+    opened = met.join(query, "q").join(stored, "gid").filter(F.size(F.array_intersect("query", "union")) >= needed(F.col("nq")))
+
+    def alikes(x: Column) -> Column:
+        def similar(m: Column) -> Column:
+            near = (~F.col("inside") | (m["cid"] > F.col("q"))) & (5 * F.least(m["n"], F.col("nq")) >= 4 * F.greatest(m["n"], F.col("nq")))
+            # |query and m| = |query and base| - |base without m| + |what differs in both|
+            enough = lambda both: 9 * (F.size("base") - x["gone"] - m["gone"] + both) >= 4 * (m["n"] + F.col("nq"))
+            least = F.least(F.size(x["differ"]), F.size(m["differ"]))
+            return near & (enough(F.lit(0)) | (enough(least) & enough(F.size(F.array_intersect(x["differ"], m["differ"])))))
 
-    def similar(m: Column) -> Column:
-        near = (m["cid"] > F.col("q")) & (5 * F.least(m["n"], F.col("nq")) >= 4 * F.greatest(m["n"], F.col("nq")))
-        return near & (9 * F.size(F.array_intersect(F.col("query"), m["tokens"])) >= 4 * (m["n"] + F.col("nq")))
+        return F.transform(F.filter("members", similar), lambda m: m["cid"])
 
-    return opened.select("q", F.explode(F.transform(F.filter("members", similar), lambda m: m["cid"])).alias("m"))
+    asker = F.struct(F.size(F.array_except("base", "query")).alias("gone"), F.concat(F.array_except("base", "query"), F.array_except("query", "base")).alias("differ"))
+    return opened.select("q", F.explode(let(asker, alikes)).alias("m")).select(F.least("q", "m").alias("q"), F.greatest("q", "m").alias("m"))
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+from quire.llm import jaccard
 from quire.llm.jaccard import similar_documents
 
 from .helpers import docs, hard
@@ -63,3 +64,27 @@ def test_hard_rows(spark):
     assert rows(similar_documents(docs(spark, texts, ids))) == brute(ids, texts)
     assert rows(similar_documents(docs(spark, [None, "", None], [None, None, 3]))) == brute([None, None, 3], [None, "", None])
     assert rows(similar_documents(docs(spark, []))) == []
+
+
+def test_large_family_meets_few_groups(spark, monkeypatch):
+    # near copies with different texts ask large groups, and of two groups only one asks the other
+    chance = random.Random(8)
+    base, texts = [f"w{k}" for k in range(150)], []
+    for _ in range(400):
+        copy = list(base)
+        for k in chance.sample(range(150), chance.randint(1, 5)):
+            copy[k] = f"e{chance.randint(0, 999)}"
+        texts.append(" ".join(copy))
+    rows_of, write = {}, jaccard.written
+
+    def counted(df, name, **more):
+        out = write(df, name, **more)
+        rows_of[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    ids = [*range(400)]
+    expected = brute(ids, texts)
+    assert rows(similar_documents(docs(spark, texts, ids))) == expected
+    assert rows_of["links"] == sum(r[2] for r in expected) // 2  # each link once
+    assert rows_of["met"] * 25 < 400 * 400
