@@ -87,3 +87,33 @@ def test_null_and_empty_documents(spark):
     assert {r.doc_id for r in checks.validate(docs).filter("severity = 'error'").collect()} == {1}
     assert checks.validate(docs.limit(0)).collect() == []
     assert tokens.page_blocks(docs).collect() == []
+
+
+def test_widths_with_overlap_equal_the_plain_fold(spark):
+    chance = random.Random(5)
+    grids = [[[{"colspan": chance.choice((0, 1, 1, 2, 3)), "rowspan": chance.choice((0, 1, 1, 2, 3, 9))} for _ in range(chance.randint(0, 4))] for _ in range(chance.randint(1, 6))] for _ in range(150)]
+    df = spark.createDataFrame([(g,) for g in grids], "rows array<array<struct<colspan:int,rowspan:int>>>")
+    for r in df.select("rows", tables.widths(F.col("rows")).alias("a"), tables.folded(F.to_json("rows")).alias("b")).collect():
+        assert r.a == r.b, r.rows
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_checks_are_one_scan_without_python_or_shuffle(spark, tmp_path):
+    spark.createDataFrame([(1, page(1, "x"))], "doc_id bigint, md string").write.parquet(str(tmp_path / "docs"))
+    found = plan(checks.validate(spark.read.parquet(str(tmp_path / "docs"))))
+    assert found.count("Relation [") == 1 and not any(x in found for x in ("ArrowEvalPython", "Window", "Aggregate [", "Union"))
+
+
+def test_places_of_suspect_text_are_found_once_and_not_for_each_mark(spark):
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("md"))
+    assert plan(checks.issues(docs, 12)).count("complexity.*?(?:these are|they are|see|refer to), 2)") == 1
+
+
+def test_pages_by_counting_and_by_halving(spark):
+    n = 300
+    md = "# 9 first\n" + "\n".join(page(k, f"# {k} a\n# {k}.1 b\n# {k}.4 c") for k in range(1, n))
+    assert told(spark, md, 4) == [f"Section gap: section {k}.1 jumps to section {k}.4 (missing 2 section(s)) (page {k})" for k in range(1, n)]
+    assert told(spark, md, 5) == ["Duplicate section headings: 1 sections appear more than once", "  Section 9 appears 2 times (pages: p0, p9)"]
