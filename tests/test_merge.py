@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.operators import merge, tables
@@ -82,3 +83,25 @@ def test_steps_run_in_order_and_formatting_is_stable(spark):
     assert once[2] is None and "TABLE_CONTINUE" not in once[1] and "  <tbody>" in once[1]
     twice = pipeline.FORMAT.run(spark.createDataFrame([(1, once[1])], "doc_id bigint, md string")).first().md
     assert twice == once[1] and set(result.timings) == {"tables", "strip", "format"}
+
+
+def test_texts_are_rewritten_a_piece_at_a_time(monkeypatch):
+    class Docs:
+        schema = None
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    monkeypatch.setattr(tables, "PIECE", 10)
+    batch = pa.record_batch({"doc_id": [1, 2, 3, 4, 5], "md": ["abc", None, "bcd", "a" * 30, "c"], "more": list("vwxyz")})
+    out = list(tables.rewritten(Docs(), str.upper, "a")(iter([batch])))
+    assert [b.num_rows for b in out] == [4, 1] and out[0].schema == batch.schema
+    assert pa.Table.from_batches(out).to_pydict() == {"doc_id": [1, 2, 3, 4, 5], "md": ["ABC", None, "bcd", "A" * 30, "c"], "more": list("vwxyz")}
+
+
+def test_rewriting_keeps_no_column_of_texts_in_python(spark):
+    docs = spark.createDataFrame([(1, f"{table('a')}<!-- TABLE_CONTINUE -->{table('b')}", "x"), (2, None, "y")], "doc_id bigint, md string, more string")
+    for made in (tables.merge_continued(docs), tables.format_documents(docs)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+        assert {(r.doc_id, r.more, r.md is None) for r in made.collect()} == {(1, "x", False), (2, "y", True)}
